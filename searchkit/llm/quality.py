@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from searchkit.llm.common import SPACE, let, table, text_or_empty, without
 
 #: (metric, relation, bound): a text that meets a row's relation fails.
-#: The ratios are per word, except short_lines and dup_lines, which are per line with a word.
+#: The ratios are per word, but dup_line_ratio per line with a word and upper_ratio per character of a word;
+#: half a stop word is added, so that a short text isn't judged by chance.
 RULES: tuple[tuple[str, str, float], ...] = (
     ("n_words", "<", 10),
     ("n_words", ">", 1_000_000),
@@ -30,7 +31,7 @@ RULES: tuple[tuple[str, str, float], ...] = (
     ("symbol_ratio", ">", 0.30),
     ("dup_line_ratio", ">", 0.50),
     ("repeat_word_ratio", ">", 0.20),
-    ("stop_word_ratio", "<", 0.01),
+    ("stop_word_ratio", "<", 0.03),
     ("upper_ratio", ">", 0.60),
     ("bar_ratio", ">", 0.25),
 )
@@ -114,7 +115,7 @@ def quality(docs: DataFrame, text_col: str = "text", rules: tuple[tuple[str, str
         "symbol_ratio": at("n_symbols") / words,
         "dup_line_ratio": at("l.n_dup_lines") / lines,
         "repeat_word_ratio": at("w.n_repeat_words") / words,
-        "stop_word_ratio": at("w.n_stop") / words,
+        "stop_word_ratio": (at("w.n_stop") + 0.5) / words,
         "upper_ratio": at("n_upper") / F.greatest(at("w.word_chars"), F.lit(1)),
         "bar_ratio": at("n_bars") / words,
     }
@@ -164,7 +165,7 @@ WITH docs AS (
 ), ratios AS (
   SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbol_ratio,
          n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_word_ratio,
-         n_stop / greatest(n_words, 1) AS stop_word_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio, n_bars / greatest(n_words, 1) AS bar_ratio,
+         (n_stop + 0.5::DOUBLE) / greatest(n_words, 1) AS stop_word_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio, n_bars / greatest(n_words, 1) AS bar_ratio,
          n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
   FROM counts
 )
