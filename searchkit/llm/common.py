@@ -66,5 +66,6 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def quote_sql(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def fold(id_col: str, n: int) -> Column:
+    """crc32 of the id as text modulo n; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string")) % n
