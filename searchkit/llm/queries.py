@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from searchkit.llm import decontaminate, language, quality, toxicity
+from searchkit.llm import decontaminate, language, quality, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_simhash": simhash.op5_simhash,
     "op9_language": language.op9_language,
     "op10_quality_rules": quality.op10_quality_rules,
 }
