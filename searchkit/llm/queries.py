@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from searchkit.llm import decontaminate, language, quality, simhash, toxicity
+from searchkit.llm import decontaminate, language, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op8_substring": substring.op8_substring,
     "op9_language": language.op9_language,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op8_substring": substring.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
