@@ -48,6 +48,7 @@ ANCHORS_SENT = 4_000_000
 #: Words that a shard indexes at once, unless one anchor has more.
 SHARD_WORDS = 500_000
 ADDED = ("n_words", "n_removed", "kept_text")
+STRETCH = ["key", "h", "g", "start", "stop", "words"]
 
 
 class _Runs:
@@ -111,7 +112,11 @@ def _count_hot_windows(hot, window: int, anchor: int):
 
 
 def _send(repeated, hot, heavy, window: int, anchor: int):
-    """Stretches (key, h, g, start, words) to be indexed; words is null for a window that is known to repeat."""
+    """Stretches (key, h, g, start, stop, words) to be indexed.
+
+    words is null for a run of windows that are known to repeat, up to stop; stop is
+    -1 for a single window of a heavy anchor, keyed by its own hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if repeated is None else repeated.value
@@ -120,14 +125,17 @@ def _send(repeated, hot, heavy, window: int, anchor: int):
             is_hot = _contains(hot.value, r.keys)
             usual = ~is_hot if known is None else ~is_hot & _contains(known, r.keys)
             at, key, size = r.heads[usual], r.keys[usual], r.sizes[usual] + (window - 1)
-            done = np.zeros(0, np.int64)
+            done = stop = np.zeros(0, np.int64)
+            n_usual = len(at)
             which = np.flatnonzero(is_hot)
             if len(which):
                 p, x, y = _windows(r, which, window)
                 hx, hy = heavy.value
                 i = np.minimum(np.searchsorted(hx, x), max(len(hx) - 1, 0))
                 known_heavy = (hx[i] == x) & (hy[i] == y) if len(hx) else np.zeros(len(x), bool)
-                done = p[known_heavy]
+                done = np.unique(p[known_heavy])
+                gap = np.flatnonzero(np.diff(done) != 1)
+                done, stop = done[np.append(0, gap + 1)[: len(done)]], done[np.append(gap, len(done) - 1)[: len(done)]] + window
                 at, key, size = np.append(at, p[~known_heavy]), np.append(key, x[~known_heavy]), np.append(size, np.full(int((~known_heavy).sum()), window))
             if not len(at) and not len(done):
                 continue
@@ -139,8 +147,11 @@ def _send(repeated, hot, heavy, window: int, anchor: int):
             every = np.append(at, done)
             doc = np.searchsorted(r.w.first, every, side="right") - 1
             h, g = (np.asarray(batch.column(c))[a + doc] for c in (1, 2))
-            keys = np.append(key.view(np.int64), h[n:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h), pa.array(g), pa.array(every - r.w.first[doc]), words], names=["key", "h", "g", "start", "words"])
+            first = r.w.first[doc]
+            # What is known goes anywhere: copies of one text mustn't meet.
+            keys = np.append(key.view(np.int64), h[n:] + (every[n:] + a) * 0x9E3779B97F4A7C1)
+            stops = np.concatenate([np.zeros(n_usual, np.int64), np.full(n - n_usual, -1), stop - first[n:]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h), pa.array(g), pa.array(every - first), pa.array(stops), words], names=STRETCH)
 
     return run
 
@@ -193,11 +204,11 @@ def _index(window: int, shard_words: int):
     """Of stretches sorted by key: intervals (h, g, a, b)."""
 
     def out(h, g, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, a, b)], names=["h", "g", "a", "b"])
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (h, g, a, b)], names=["h", "g", "a", "b"])
 
     def solve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        data, offsets = kernels.flat(pa.concat_arrays([x.column(4) for x in rows]))
+        data, offsets = kernels.flat(pa.concat_arrays([x.column("words") for x in rows]))
         row, a, b = repeated_windows(np.frombuffer(data.tobytes(), "<u4"), np.diff(offsets) // 4, window)
         if len(row):
             h, g, start = (t[c].to_numpy()[row] for c in ("h", "g", "start"))
@@ -207,15 +218,14 @@ def _index(window: int, shard_words: int):
         held: list[pa.RecordBatch] = []
         words = 0
         for batch in batches:
-            null = batch.column(4).is_null()
+            null = batch.column("words").is_null()
             known = batch.filter(null)
             if known.num_rows:
-                start = known.column(3).to_numpy()
-                yield out(known.column(1).to_numpy(), known.column(2).to_numpy(), start, start + window)
+                yield out(*known.columns[1:5])
                 batch = batch.filter(pa.compute.invert(null))
             if not batch.num_rows:
                 continue
-            size = batch.column(4).nbytes // 4
+            size = batch.column("words").nbytes // 4
             keys = batch.column(0).to_numpy()
             if words + size >= shard_words:
                 cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
@@ -224,7 +234,7 @@ def _index(window: int, shard_words: int):
                     yield from solve(done)
                     held, words = [], 0
                     batch = batch.slice(cut)
-                    size = batch.column(4).nbytes // 4
+                    size = batch.column("words").nbytes // 4
             held.append(batch)
             words += size
         if held:
@@ -253,10 +263,10 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, ancho
         heavy = (x[order], y[order])
     few = n_repeated <= anchors_sent
     sent = sc.broadcast(_sorted(counted.select("key"))) if few else None
-    stretches = texts.mapInArrow(_send(sent, sent_hot, sc.broadcast(heavy), window, anchor), "key long, h long, g long, start long, words binary")
+    stretches = texts.mapInArrow(_send(sent, sent_hot, sc.broadcast(heavy), window, anchor), "key long, h long, g long, start long, stop long, words binary")
     if not few:
-        known = stretches.where("words is null or length(words) = 4 * " + str(window))
-        stretches = stretches.where("length(words) > 4 * " + str(window)).join(counted.select("key"), "key", "left_semi").unionByName(known)
+        repeated = counted.select("key", F.lit(True).alias("_repeated"))
+        stretches = stretches.join(repeated, "key", "left").where("words is null or stop < 0 or _repeated").select(*STRETCH)
     return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_index(window, shard_words), "h long, g long, a long, b long")
 
 
