@@ -123,10 +123,13 @@ def multilevel(frame: DataFrame, levels: Sequence[tuple[str, Column, int]], by_t
 def collapse(frame: DataFrame, key: str, order: Sequence[Column], id_col: str) -> DataFrame:
     """One record of each key (the first in order; ties by id) with duplicate_count, the records of its key.
 
-    An aggregate, not a window: a key of very many records is reduced before it is shuffled.
+    The row number's limit is applied before the shuffle too, and counts are partial sums, so a key of
+    very many records is reduced to a row for each task before it moves.
     """
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("id"))
-    return frame.groupBy(key).agg(F.min(rank).getField("id").alias(id_col), F.count("*").alias("duplicate_count"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order, id_col))
+    own = frame.withColumn("_first", first).where("_first <= 1").drop("_first")
+    counts = frame.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("duplicate_count"))
+    return own.join(counts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def label_terms(facets: DataFrame, labels: DataFrame, term: str = "term", label: str = "label") -> DataFrame:

@@ -69,6 +69,6 @@ def paging(total: DataFrame, start: int, stop: int, limit_beyond: int | None = N
 def search_collapsed(data: Dataset, query: Query, key: str, sort: Sequence[SortKey] = (), start: int = 0, stop: int = 10) -> tuple[DataFrame, DataFrame]:
     """Hits with one record a key and their duplicate_count, and totals (total: keys, total_with_duplicates: records)."""
     matched = data.frame.where(compile_query(query, data))
-    one = collapse(matched, key, [F.col(k.field) for k in sort if not k.descending], data.id)
+    one = collapse(matched, key, order_by(data, sort)[:-1], data.id)
     totals = one.agg(F.count("*").alias("total"), F.coalesce(F.sum("duplicate_count"), F.lit(0)).alias("total_with_duplicates"))
-    return page(one, [F.col(data.id).asc()], start, stop), totals
+    return page(one, order_by(data, sort), start, stop), totals
