@@ -36,7 +36,7 @@ EDGE = 32  # the boundary symbol; no letter folds to it
 #: Stored (class, n-gram) pairs times classes, at most.
 CELLS = 1 << 24
 #: Text that is handled at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Distinct (class, n-gram) sums that a task holds before it emits them.
 TASK_SUMS = 2_000_000
 
@@ -278,11 +278,13 @@ def build(classes: list[str], cls: np.ndarray, code: np.ndarray, n: np.ndarray,
 def train(labelled: DataFrame, text_col: str, class_col: str, shared: bool = False, cells: int = CELLS) -> Model | None:
     """Count all labelled texts and build the model; None when no text has a class."""
     summed = checkpoint(counts(labelled, text_col, class_col))
-    by_class = summed.groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(cells >> 12).collect()
-    if not by_class:
+    total = summed.agg(F.sum("n")).first()[0]
+    if not total:
         return None
+    # A class needs 2^-16 of all n-gram tokens to be stored, so there are at most 2^16 of them.
+    by_class = summed.groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, total >> 16)).collect()
     classes = sorted(r["cls"] for r in by_class)
-    least = sum(r["n"] for r in by_class) * len(classes) // cells
+    least = total * len(classes) // cells
     stored = summed.where(F.col("n") >= max(1, least)).toArrow()
     number = {c: i for i, c in enumerate(classes)}
     cls = np.array([number.get(c, -1) for c in stored["cls"].to_pylist()], np.int64)
