@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
 from collections import OrderedDict
 from collections.abc import Callable
@@ -37,6 +39,13 @@ def reverse(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFra
     return pairs.select(F.col(value).alias(key), F.col(key).alias(value))
 
 
+def sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
+    """(key, first, last, requests): the sessions of each key, which a pause of `gap` ends."""
+    timed = events.select(key, F.col(at).cast("timestamp").alias("_at"))
+    grouped = timed.groupBy(key, F.session_window("_at", gap)).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("requests"))
+    return grouped.select(key, F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "requests")
+
+
 class TimedDictionary:
     """A driver-side map whose entries expire; order is that of the last set; optionally bounded."""
 
@@ -91,6 +100,32 @@ class TimedDictionary:
             del self.entries[key]
 
 
+class SavedTimedDictionary(TimedDictionary):
+    """A timed dictionary of JSON values kept in a file, which is replaced whole after each change."""
+
+    def __init__(self, path: str, timeout: float, most: int | None = None, clock: Callable[[], float] = time.time):
+        super().__init__(timeout, most, clock)
+        self.path = path
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                self.entries = OrderedDict((k, (v, at)) for k, v, at in json.load(f))
+
+    def save(self) -> None:
+        temporary = f"{self.path}.tmp"
+        with open(temporary, "w", encoding="utf-8") as f:
+            json.dump([(k, v, at) for k, (v, at) in self.entries.items()], f)
+        os.replace(temporary, self.path)
+
+    def __setitem__(self, key: str, value: Any) -> None:
+        super().__setitem__(key, value)
+        self.save()
+
+    def pop(self, key: str) -> Any:
+        value = super().pop(key)
+        self.save()
+        return value
+
+
 class ResultCache:
     """Results of queries by key for some time; on failure a stale one if allowed, and then a pause before the next try."""
 

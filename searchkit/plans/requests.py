@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import urlencode
@@ -276,6 +277,32 @@ def parse_sru(arguments: Arguments, record_schema: str = "dc", record_packing: s
     return SruRequest(operation, version, tree, text, start - 1, maximum, schema, packing, sort, facets, limit_start, echo)
 
 
+class SoapFault(ValueError):
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+def parse_srw(body: str) -> Arguments:
+    """The arguments of a SOAP searchRetrieveRequest, as SRU has them (version 1.1 and the operation are given)."""
+    try:
+        root = ET.fromstring(body)
+    except ET.ParseError as e:
+        raise SoapFault("SOAP:Client.SyntaxError", str(e)) from None
+    if root.tag != "{http://schemas.xmlsoap.org/soap/envelope/}Envelope":
+        raise SoapFault("SOAP:VersionMismatch", "The envelope is of another namespace.")
+    request = next((r for b in root if b.tag.endswith("}Body") for r in b), None)
+    name = request.tag.rpartition("}")[2] if request is not None else ""
+    if name != "searchRetrieveRequest":
+        raise SruError(4, name.removesuffix("Request") or "operation")
+    arguments: Arguments = {}
+    for child in request:
+        arguments.setdefault(child.tag.rpartition("}")[2], []).append(child.text or "")
+    if "stylesheet" in arguments:
+        raise SruError(8, "stylesheet")
+    return {"version": ["1.1"]} | arguments | {"operation": ["searchRetrieve"]}
+
+
 def parse_rss(arguments: Arguments, anti_unary: str = "", sort_keys: str | None = None, maximum: int = 10) -> tuple[Query, list[SortKey], int]:
     """Query, sort and size of an RSS request. Its sort flag 1 means descending, the opposite of SRU's."""
     text = arguments.get("query", [""])[0]

@@ -17,6 +17,7 @@ from searchkit.plans.requests import Facet, SortKey, parse_drilldown_query, pars
 from searchkit.plans.webquery import WebQuery
 from searchkit.session import shared_folder
 from searchkit.sources import config, logs
+from searchkit.sources import xml as xmlsource
 from searchkit.streaming.upsert import UpsertTable, upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ def run(data: Dataset, text_query: str, **options) -> Response:
     return execute(data, cql.parse(text_query), **options)
 
 
+#: A schema whose key has one digit.
+NATION_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="nation"><xs:complexType><xs:sequence>
+<xs:element name="key"><xs:simpleType><xs:restriction base="xs:string"><xs:pattern value="[0-9]"/></xs:restriction></xs:simpleType></xs:element>
+<xs:element name="name" type="xs:string"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
 _PUNCT = text.PUNCTUATION.replace("'", "''")
 #: SQL for the tokens of a text.
 TEXT_TOKENS = f"list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: lower(trim(w, '{_PUNCT}'))), lambda t: length(t) > 1)"
@@ -283,65 +289,64 @@ def extra_schemas(spark, d):
     return parts.attach_schemas(hits, _label_parts(spark, d), ["quality", "toxic"], "doc_id").select("doc_id", "quality", "toxic")
 
 
-def _place_parts(spark, d) -> DataFrame:
-    nation = table(spark, d, "nation")
-    named = nation.select(F.col("n_nationkey").cast("string").alias("identifier"), F.lit("name").alias("partname"), F.concat(F.lit("<name>"), text.xml_escape("n_name"), F.lit("</name>")).alias("data"))
-    region = nation.join(table(spark, d, "region").where("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"))
-    placed = region.select(F.col("n_nationkey").cast("string").alias("identifier"), F.lit("region").alias("partname"), F.concat(F.lit("<region>"), text.xml_escape("r_name"), F.lit("</region>")).alias("data"))
-    return named.unionByName(placed)
+def _doc_parts(spark, d) -> DataFrame:
+    """A part of every document, and one for each label."""
+    docs = table(spark, d, "documents")
+    meta = docs.select(F.col("doc_id").cast("string").alias("identifier"), F.lit("meta").alias("partname"), _meta().alias("data"))
+    return meta.unionByName(_label_parts(spark, d).withColumn("identifier", F.col("identifier").cast("string")))
+
+
+def _meta():
+    return F.concat(F.lit("<meta><lang>"), text.xml_escape("lang"), F.lit("</lang><source>"), text.xml_escape("source"), F.lit("</source></meta>"))
+
 
+_META = "'<meta><lang>' || lang || '</lang><source>' || source || '</source></meta>'"
 
-@query("combine_parts", """
-SELECT n_nationkey::VARCHAR AS identifier, '<doc:document xmlns:doc="urn:searchkit:document"><doc:part name="name"><name>' || n_name || '</name></doc:part>'
-  || coalesce('<doc:part name="region"><region>' || r_name || '</region></doc:part>', '') || '</doc:document>' AS data
-FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
+
+@query("combine_parts", f"""
+SELECT doc_id::VARCHAR AS identifier, '<doc:document xmlns:doc="urn:searchkit:document"><doc:part name="meta">' || {_META} || '</doc:part>'
+  || coalesce('<doc:part name="quality"><quality>' || quality || '</quality></doc:part>', '') || '</doc:document>' AS data
+FROM documents LEFT JOIN labels USING (doc_id)""")
 def combine_parts(spark, d):
-    return parts.combine_parts(_place_parts(spark, d), ["name", "region"], optional=["region"])
+    return parts.combine_parts(_doc_parts(spark, d), ["meta", "quality"], optional=["quality"])
 
 
-@query("part_filter", "SELECT n_nationkey::VARCHAR AS identifier, 'label' AS partname FROM nation")
+@query("part_filter", "SELECT doc_id::VARCHAR AS identifier, 'label' AS partname, '<toxic>' || toxic || '</toxic>' AS data FROM labels")
 def part_filter(spark, d):
-    return parts.rewrite_partname(parts.filter_parts(_place_parts(spark, d), included=["name"]), "label").select("identifier", "partname")
+    return parts.rewrite_partname(parts.filter_parts(_doc_parts(spark, d), excluded=["meta", "quality"]), "label").select("identifier", "partname", "data")
+
+
+def _resolve(spark, d, should, could):
+    envelopes = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("identifier"), _meta().alias("xml"))
+    stored = _label_parts(spark, d).withColumn("identifier", F.col("identifier").cast("string"))
+    return parts.resolve_parts(envelopes, stored, should, could)
 
 
 @query("venturi_coalesce", """
-SELECT n_nationkey::VARCHAR AS identifier, 'name' AS partname, n_name AS data FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey < 20
-UNION ALL SELECT n_nationkey::VARCHAR, 'region', n_regionkey::VARCHAR FROM nation WHERE n_nationkey % 3 = 0 AND (n_nationkey % 2 = 0 OR n_nationkey < 20)""")
+SELECT doc_id::VARCHAR AS identifier, 'lang' AS partname, lang AS data FROM documents
+UNION ALL SELECT doc_id::VARCHAR, 'quality', '<quality>' || quality || '</quality>' FROM documents JOIN labels USING (doc_id)""")
 def venturi_coalesce(spark, d):
-    nation = table(spark, d, "nation")
-    key = F.col("n_nationkey")
-    inner = F.concat(F.when(key % 2 == 0, F.concat(F.lit("<name>"), text.xml_escape("n_name"), F.lit("</name>"))).otherwise(""), F.when(key % 3 == 0, F.concat(F.lit("<region>"), F.col("n_regionkey").cast("string"), F.lit("</region>"))).otherwise(""))
-    envelopes = nation.select(key.cast("string").alias("identifier"), F.concat(F.lit("<record>"), inner, F.lit("</record>")).alias("xml"))
-    stored = nation.where("n_nationkey < 20").select(key.cast("string").alias("identifier"), F.lit("name").alias("partname"), F.col("n_name").alias("data"))
-    good, _ = parts.resolve_parts(envelopes, stored, {"name": "/record/name/text()"}, {"region": "/record/region/text()"})
-    return good
+    return _resolve(spark, d, {"lang": "/meta/lang/text()"}, {"quality": "/meta/quality/text()"})[0]
 
 
-@query("venturi_errors", "SELECT n_nationkey::VARCHAR AS identifier, 'Expected ''name''' AS error FROM nation WHERE NOT (n_nationkey % 2 = 0 OR n_nationkey < 20)")
+@query("venturi_errors", "SELECT doc_id::VARCHAR AS identifier, 'Expected ''quality''' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def venturi_errors(spark, d):
-    nation = table(spark, d, "nation")
-    key = F.col("n_nationkey")
-    inner = F.when(key % 2 == 0, F.concat(F.lit("<name>"), text.xml_escape("n_name"), F.lit("</name>"))).otherwise("")
-    envelopes = nation.select(key.cast("string").alias("identifier"), F.concat(F.lit("<record>"), inner, F.lit("</record>")).alias("xml"))
-    stored = nation.where("n_nationkey < 20").select(key.cast("string").alias("identifier"), F.lit("name").alias("partname"), F.col("n_name").alias("data"))
-    return parts.resolve_parts(envelopes, stored, {"name": "/record/name/text()"}, {})[1]
+    return _resolve(spark, d, {"quality": "/meta/quality/text()"}, {"lang": "/meta/lang/text()"})[1]
 
 
 @query("compose_record", """
-SELECT c_custkey, CASE WHEN n_nationkey < 20 THEN '<customer><name>' || c_name || '</name><nation>' || n_name || '</nation></customer>' ELSE '' END AS record
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+SELECT doc_id, CASE WHEN quality IS NOT NULL THEN '<doc><lang>' || lang || '</lang><quality>' || quality || '</quality></doc>' ELSE '' END AS record
+FROM documents LEFT JOIN labels USING (doc_id)""")
 def compose_record(spark, d):
-    nation = table(spark, d, "nation").where("n_nationkey < 20")
-    rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return parts.compose(rows, "<customer><name>%(c_name)s</name><nation>%(n_name)s</nation></customer>", ["c_name", "n_name"]).select("c_custkey", "record")
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    return parts.compose(rows, "<doc><lang>%(lang)s</lang><quality>%(quality)s</quality></doc>", ["lang", "quality"]).select("doc_id", "record")
 
 
 @query("compose_parts", """
-SELECT n_nationkey::VARCHAR AS identifier, CASE WHEN r_name IS NOT NULL THEN '<place>' || n_name || ', ' || r_name || '</place>' ELSE '' END AS record
-FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
+SELECT doc_id::VARCHAR AS identifier, CASE WHEN toxic IS NOT NULL THEN '<d>' || source || ': ' || toxic || '</d>' ELSE '' END AS record FROM documents LEFT JOIN labels USING (doc_id)""")
 def compose_parts(spark, d):
-    rows = parts.fields_of_parts(_place_parts(spark, d), {"name": ("name", "/name/text()"), "region": ("region", "/region/text()")})
-    return parts.compose(rows, "<place>%(name)s, %(region)s</place>", ["name", "region"]).select("identifier", "record")
+    rows = parts.fields_of_parts(_doc_parts(spark, d), {"source": ("meta", "/meta/source/text()"), "toxic": ("toxic", "/toxic/text()")})
+    return parts.compose(rows, "<d>%(source)s: %(toxic)s</d>", ["source", "toxic"]).select("identifier", "record")
 
 
 @query("rss_items", """
@@ -433,15 +438,17 @@ def _is_folder(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("only_changed", """
-WITH old AS (SELECT * FROM events WHERE event_id % 2 = 0), stored AS (
-  SELECT user_id, event_type FROM old QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
-SELECT e.event_id FROM events e WHERE e.event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.user_id = e.user_id
-  AND CASE WHEN e.event_type = 'error' THEN s.event_type = 'error' ELSE s.event_type = e.event_type END)""")
+_HALF = "2024-01-16 00:00:00"
+
+
+@query("only_changed", f"""
+WITH stored AS (
+  SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '{_HALF}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT event_id FROM events e LEFT JOIN stored s USING (user_id) WHERE ts >= TIMESTAMP '{_HALF}' AND e.event_type IS DISTINCT FROM s.event_type""")
 def only_changed(spark, d):
     updates = _event_updates(table(spark, d, "events"))
-    stored = ingest.apply_updates(None, updates.where("event_id % 2 = 0"), ["identifier"], ["ts", "event_id"], keep_tombstones=True)
-    return ingest.only_changed(updates.where("event_id % 2 = 1"), stored, keys=["identifier"]).select("event_id")
+    stored = ingest.apply_updates(None, updates.where(f"ts < timestamp_ntz'{_HALF}'"), ["identifier"], ["ts", "event_id"], keep_tombstones=True)
+    return ingest.only_changed(updates.where(f"ts >= timestamp_ntz'{_HALF}'"), stored, keys=["identifier"]).select("event_id")
 
 
 @query("parse_updates", """
@@ -684,6 +691,29 @@ def alias_file(spark, d):
     return config.aliases(spark.createDataFrame(list(enumerate(lines)), "line int, value string")).select("alias", "field")
 
 
+@query("session_windows", """
+WITH gaps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ids AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM gaps)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS requests FROM ids GROUP BY user_id, s""")
+def session_windows(spark, d):
+    return state.sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes")
+
+
+@query("xml_validate", "SELECT n_nationkey, n_nationkey <= 9 AS valid FROM nation")
+def xml_validate(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", _nation_xml().alias("xml"))
+    return xmlsource.validate(rows, "xml", NATION_XSD).select("n_nationkey", "valid")
+
+
+@query("xml_parse", "SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation")
+def xml_parse(spark, d):
+    return table(spark, d, "nation").select(xmlsource.parsed(_nation_xml(), "key long, name string").alias("x")).select("x.*")
+
+
+def _nation_xml():
+    return F.concat(F.lit("<nation><key>"), F.col("n_nationkey").cast("string"), F.lit("</key><name>"), text.xml_escape("n_name"), F.lit("</name></nation>"))
+
+
 # Suggestions.
 
 _VOCABULARY = f"(SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TEXT_TOKENS}) AS term FROM documents) GROUP BY 1)"

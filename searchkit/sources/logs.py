@@ -109,3 +109,45 @@ def daily_counts(rows: DataFrame, day: Column, kept: int) -> DataFrame:
 def write_daily(rows: DataFrame, path: str, line: Column, day: Column, mode: str = "append") -> None:
     """Gzipped text, a folder for each day."""
     rows.select(line.alias("value"), day.alias("log_date")).write.mode(mode).partitionBy("log_date").option("compression", "gzip").text(path)
+
+
+def log_days(spark: SparkSession, path: str) -> list[str]:
+    """The days that a folder of daily logs has, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith("log_date="))
+
+
+def rotate(spark: SparkSession, path: str, kept: int = 14) -> list[str]:
+    """Delete all but the newest days; the days deleted."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = log_days(spark, path)
+    old = days[: max(0, len(days) - kept)]
+    for day in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"log_date={day}"), True)
+    return old
+
+
+def persist(rows: DataFrame, path: str, line: Column, max_records: int = 1_000_000) -> None:
+    """Append gzipped lines, a new file after so many records."""
+    rows.select(line.alias("value")).write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+
+
+def keep_newest_files(spark: SparkSession, path: str, most: int | None = 50) -> int:
+    """Delete the oldest files of a folder beyond `most` (None: keep all); how many went."""
+    if most is not None and most < 3:
+        raise ValueError("at least 3 files are kept")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f for f in fs.listStatus(root) if f.isFile() and f.getPath().getName().startswith("part-")]
+    files.sort(key=lambda f: (f.getModificationTime(), f.getPath().getName()))
+    old = files[: max(0, len(files) - most)] if most is not None else []
+    for f in old:
+        fs.delete(f.getPath(), False)
+    return len(old)
+
+
+def with_constants(rows: DataFrame, constants: dict[str, str]) -> DataFrame:
+    """Rows with the same keys and values added to each."""
+    return rows.withColumns({k: F.lit(v) for k, v in constants.items()})

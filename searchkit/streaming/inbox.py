@@ -61,5 +61,5 @@ class Inbox:
 
 def stream_folder(spark: SparkSession, folder: str, schema: str = "value string", files_per_batch: int = 1000) -> DataFrame:
     """A folder watched by a stream: each file a row (file name, text), whole."""
-    lines = spark.readStream.schema(schema).option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return lines.select(F.col("_metadata.file_name").alias("identifier"), F.col("value").alias("data"))
