@@ -31,6 +31,8 @@ SHARE, CAP = 1.5, 2
 BUCKETS = 256
 #: Sources whose cutoffs may be broadcast (about 100 bytes each); beyond, they are joined by a shuffle.
 SOURCES_SENT = 500_000
+#: Labels that may be broadcast (about 60 bytes each in memory); beyond, they are joined by a shuffle.
+LABELS_SENT = 1_000_000
 #: Weights of documents labelled good and bad.
 GOOD, BAD = 2.0, 0.5
 ADDED = ("size", "source_size", "target", "taken")
@@ -89,16 +91,18 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
 
     quality: (id, quality) rows; a document of average quality 0.5 or more weighs GOOD, below BAD.
     """
-    docs = without(docs, [*ADDED, "s_null", "src", "_k", "_w"])
+    docs = without(docs, [*ADDED, "s_null", "src", "_k", "_w", "_id", "_q"])
     base = docs.withColumns({"size": n_words(text_col), "s_null": F.col(source_col).isNull(), "src": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
-    weight = F.lit(1.0)
     if quality is not None:
         by_id = quality.where("quality is not null").groupBy(F.col(id_col).alias("_id")).agg(F.avg("quality").alias("_q"))
         weight = F.when(F.col("_q") >= 0.5, F.lit(GOOD)).when(F.col("_q") < 0.5, F.lit(BAD)).otherwise(F.lit(1.0))
-        keyed = base.select(F.col(id_col).alias("_id"), "size", "s_null", "src", _key(id_col, text_col, F.lit(1.0)).alias("_raw")).join(by_id, "_id", "left").withColumn("_k", F.col("_raw") / weight)
-        good = checkpoint(by_id.where("_q is not null"))
+        labels = checkpoint(by_id.where("_id is not null"))
+        labels = F.broadcast(labels) if labels.count() <= LABELS_SENT else labels
+        base = base.join(labels, F.col(id_col) == F.col("_id"), "left").withColumn("_w", weight).drop("_id", "_q")
     else:
-        keyed = base.select("size", "s_null", "src", _key(id_col, text_col, weight).alias("_k"))
+        base = base.withColumn("_w", F.lit(1.0))
+    base = base.withColumn("_k", _key(id_col, text_col, F.col("_w"))).drop("_w")
+    keyed = base.select("size", "s_null", "src", "_k")
     # 1 - exp(-k) spreads keys evenly over [0, 1) whatever the unit weight; any monotone map gives the same prefix.
     place = (1 - F.exp(-F.col("_k"))) * (BUCKETS * BUCKETS)
     cell = F.least(F.floor(place), F.lit(BUCKETS * BUCKETS - 1)).cast("int")
@@ -118,22 +122,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     edge = small.join(hint(plan2.select(*on, "c1", "c2", "rest2")), on).where("b1 = c1 and b2 = c2")
     last = _prefix(edge, "_k", "rest2")
     cutoffs = checkpoint(plan2.join(hint(last), on, "left").select(*plan.columns, F.col("x._k").alias("cut"), (F.col("rest2") - F.col("x.before")).alias("left"), F.col("x.n").alias("tied")))
-    raw = _key(id_col, text_col, F.lit(1.0))
-    if quality is not None:
-        out = _with_weight(base, good, id_col, weight).withColumn("_k", raw / F.col("_w")).drop("_w")
-    else:
-        out = base.withColumn("_k", raw / weight)
-    out = out.join(hint(cutoffs), on)
+    out = base.join(hint(cutoffs), on)
     part = F.when(F.col("_k") < F.col("cut"), F.col("size")).when((F.col("_k") == F.col("cut")) & (F.col("tied") > 0), F.floor(F.col("size").cast("decimal(38,0)") * F.col("left") / F.col("tied")).cast("long")).otherwise(F.lit(0).cast("long"))
     return out.select(*docs.columns, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
-def _with_weight(base: DataFrame, by_id: DataFrame, id_col: str, weight: Column) -> DataFrame:
-    """base with _w: labels are broadcast behind a count, or joined by a shuffle."""
-    labels = F.broadcast(by_id) if by_id.count() <= 4_000_000 else by_id
-    return base.join(labels, F.col(id_col) == F.col("_id"), "left").withColumn("_w", weight).drop("_id", "_q")
-
-
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))

@@ -151,6 +151,7 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None
     """docs with every span replaced by its kind in angle brackets (overlapping spans as one, by the first's kind)."""
     found = checkpoint((ledger or Ledger(docs.sparkSession)).findings(docs, text_col, rules).where(F.size("secret_spans") > 0).select(F.col("blob").alias("_blob"), F.col("secret_spans").alias("_spans")))
     size = found.agg(F.sum(F.lit(150) + 40 * F.size("_spans"))).first()[0] or 0
+    docs = without(docs, ["_blob", "_spans"])
     joined = docs.withColumn("_blob", blob_id(text_col)).join(F.broadcast(found) if size <= few_bytes else found, "_blob", "left")
     text = F.col(text_col)
     cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))

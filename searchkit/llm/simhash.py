@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: that of the smallest id (nulls last; among rows of that id, one)."""
+    docs = without(docs, ["_key"])
     found = checkpoint(near_duplicates(docs, id_col, text_col, shingle, distance).select(F.col(id_col).alias("_id"), "_key", "_root"))
     chosen = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_key").alias("c"))).alias("x"))
     keys = checkpoint(chosen.select(F.col("x.c").alias("_key"), F.col("x.b").alias("_chosen")).distinct())

@@ -15,8 +15,9 @@ hash among its runs of ANCHOR words; equal windows have equal anchors.
 
 Heavy hitters: an anchor of more than max(HOT, total / 2^20) places (there are at most
 2^20 such anchors) isn't a shard key. Its windows are counted by hash with partial
-sums; those as frequent are, by the same bound, few enough to broadcast and are
-repeats as they stand, and the others go to shards by their own hash.
+sums; those in more than max(HOT, total / 2^15) places, of which there are fewer than
+2^15 * WINDOW, are broadcast and are repeats as they stand, and the others go to
+shards by their own hash.
 
 Word hashes: 32 bits a word on stretches, so two different windows of 35 words are
 taken for equal only where every differing word collides; anchors have 52 bits.
@@ -256,8 +257,8 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, ancho
     sent_hot = sc.broadcast(hot)
     if len(hot):
         windows = texts.select("t").mapInArrow(_count_hot_windows(sent_hot, window, anchor), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
-        # places * window bounds the windows of hot anchors from above, so at most 2^20 * window / hot_places pass.
-        found = windows.where(F.col("n") > limit).select("x", "y").toArrow()
+        # A place has fewer than `window` windows, so fewer than 2^15 * window of them can pass.
+        found = windows.where(F.col("n") > max(hot_places, places >> 15)).select("x", "y").toArrow()
         x, y = (found[c].to_numpy().view(np.uint64) for c in ("x", "y"))
         order = np.argsort(x, kind="stable")
         heavy = (x[order], y[order])

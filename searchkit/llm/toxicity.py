@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import charkn, kernels
-from searchkit.llm.common import fold, table, without
+from searchkit.llm.common import checkpoint, fold, table, without
 
-#: Labelled rows that may be broadcast (about 20 bytes each).
-LABEL_ROWS = 4_000_000
+#: Labels that may be broadcast (about 60 bytes each in memory); beyond, they are joined by a shuffle.
+LABEL_ROWS = 1_000_000
 #: Labelled rows that the curve is fitted on, at most.
 CURVE_ROWS = 50_000
 ADDED = ("score", "predicted")
@@ -99,8 +99,12 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, id_c
     n_labels = labels.count()
     if n_labels <= label_rows:
         known = F.broadcast(known)
+    else:
+        known = checkpoint(known)
     part = F.pmod(F.floor(F.crc32(F.col("_id").cast("string")) / 5), F.lit(8))
     rows = training.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(known, "_id").withColumn("_part", part)
+    if n_labels > label_rows:
+        rows = checkpoint(rows)  # read twice, shuffled once
     model = charkn.train(rows.where("_part <> 0"), "text", "_y", shared=True)
     weights = None
     if model is not None and len(model.classes) == 2:
