@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from searchkit.functions.text import phrase_of, tokens
+from searchkit.functions.text import PUNCTUATION, phrase_of
 from searchkit.plans.cql import Clause, CqlError, Group, Query
 
 
@@ -38,18 +39,26 @@ class Dataset:
         return F.col(physical), physical, self.frame.schema[physical].dataType
 
 
+_P = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
+#: Between tokens of a phrase: blanks, and words that are no tokens (punctuation with at most one other character).
+_GAP = rf"\s++(?:(?:{_P}++|{_P}*+(?!{_P})\S{_P}*+)\s++)*"
+
+
+def token_pattern(words: list[str], prefix: bool = False) -> str:
+    """A pattern that finds tokens in sequence in lower-cased text, without splitting it."""
+    body = _GAP.join(f"{_P}*{re.escape(w)}" + ("" if prefix and k == len(words) - 1 else f"{_P}*") for k, w in enumerate(words))
+    return rf"(?U)(?<!\S){body}" + ("" if prefix else r"(?!\S)")
+
+
 def _token_match(value: Column, term: str) -> Column:
     prefix = term.endswith("*") and len(term) > 1
     words = phrase_of(term[:-1] if prefix else term)
     if not words:
         return F.lit(False)
-    own = tokens(value)
-    # A plain substring test first: rows without it are never tokenized.
-    near = functools.reduce(operator.and_, [F.lower(value).contains(w) for w in words])
-    if len(words) == 1:
-        return near & (F.exists(own, lambda t: t.startswith(words[0])) if prefix else F.array_contains(own, words[0]))
-    mark = "\x1f"
-    return near & F.concat(F.lit(mark), F.array_join(own, mark), F.lit(mark)).contains(mark + mark.join(words) + ("" if prefix else mark))
+    low = F.lower(value)
+    # A plain substring test first: it is cheap, and most rows end there.
+    near = functools.reduce(operator.and_, [low.contains(w) for w in words])
+    return near & low.rlike(token_pattern(words, prefix))
 
 
 def _compare(value: Column, kind: T.DataType, relation: str, term: str) -> Column:

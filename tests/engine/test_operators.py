@@ -295,3 +295,20 @@ def test_remote(spark, server, tmp_path):
         q.awaitTermination(1)
     q.stop()
     assert seen and "numberOfRecords" in seen[0]["body"]
+
+
+def test_token_patterns_agree_with_tokens(spark):
+    import random
+
+    from searchkit.plans.compile import token_pattern
+
+    rng = random.Random(9)
+    pieces = ["cat", "Cat,", "(dog)", "a", "-", "...", "'b'", "cat-dog", "dog ", "catch", "é", "CAT!", "\n", "　", " dog", "c.a.t", "!!x!!"]
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "i int, x string").withColumn("t", text.tokens("x"))
+    for words in (["cat"], ["cat", "dog"], ["dog", "catch"], ["cat-dog", "cat"], ["c.a.t"]):
+        got = frame.withColumn("m", F.lower("x").rlike(token_pattern(words))).withColumn("p", F.lower("x").rlike(token_pattern(words, True))).collect()
+        for r in got:
+            t, n = r["t"], len(words)
+            assert r["m"] == any(t[k : k + n] == words for k in range(len(t))), (r["x"], words)
+            assert r["p"] == any(t[k : k + n - 1] == words[:-1] and t[k + n - 1].startswith(words[-1]) for k in range(len(t) - n + 1)), (r["x"], words)
