@@ -133,7 +133,7 @@ def train(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float
         graded = rows.withColumn("g", F.col("n") * (p - F.col("y"))).withColumn("h", F.col("n") * p * (1 - p))
         tree: dict = {}
         open_nodes = [0]
-        for level in range(depth + 1):
+        for level in range(depth):
             if not open_nodes:
                 break
             cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("b")) for i, c in enumerate(names)]))
@@ -146,19 +146,23 @@ def train(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float
                     tree[k] = 0.0
                     continue
                 g, h = (sum(x[i] for x in sums[k][0].values()) for i in (0, 1))
-                best = (1e-6, None)
-                for f in range(len(names)) if level < depth else ():
+                best = (1e-6, None, None)
+                for f in range(len(names)):
                     left_g = left_h = 0.0
                     for b in sorted(sums[k][f])[:-1]:
                         left_g, left_h = left_g + sums[k][f][b][0], left_h + sums[k][f][b][1]
                         gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
                         if gain > best[0] * (1 + 1e-9) and min(left_h, h - left_h) > 1e-3:
-                            best = (gain, (names[f], b))
+                            best = (gain, (names[f], b), ((left_g, left_h), (g - left_g, h - left_h)))
                 if best[1] is None:
                     tree[k] = -rate * g / (h + ridge)
-                else:
-                    tree[k] = best[1]
-                    following += [2 * k + 1, 2 * k + 2]
+                    continue
+                tree[k] = best[1]
+                children = [2 * k + 1, 2 * k + 2]
+                if level < depth - 1:
+                    following += children
+                else:  # the last level's leaves are known from the sums on both sides
+                    tree.update({c: -rate * a / (b + ridge) for c, (a, b) in zip(children, best[2], strict=True)})
             open_nodes = following
         model.trees.append(tree)
     return model
