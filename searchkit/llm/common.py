@@ -40,11 +40,6 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def words(col: str | Column = "text") -> Column:
-    """The words `[^\\x20\\x09-\\x0D]+` of a text; null has none."""
-    return F.filter(F.split(text_or_empty(col), "[\\x20\\x09-\\x0D]+"), lambda w: w != F.lit(""))
-
-
 def n_words(col: str | Column = "text") -> Column:
     """How many words `[^\\x20\\x09-\\x0D]+` a text has, without building them."""
     text = F.btrim(text_or_empty(col), F.lit(SPACE))
