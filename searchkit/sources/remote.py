@@ -157,13 +157,16 @@ class _PacketReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.wait = float(options.get("wait", 0.2))
         self.most = int(options.get("maxPackets", 10_000))
-        self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        self.socket.bind((options.get("host", "127.0.0.1"), int(options["port"])))
+        self.address = (options.get("host", "127.0.0.1"), int(options["port"]))
+        self.socket: socket.socket | None = None
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if self.socket is None:  # only the reader that plans listens; others are made to read what is cached
+            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.socket.bind(self.address)
         rows, until = [], time.time() + self.wait
         while time.time() < until and len(rows) < self.most:
             self.socket.settimeout(max(0.001, until - time.time()))

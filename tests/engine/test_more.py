@@ -118,3 +118,25 @@ def test_folder_stream(spark, tmp_path):
     q = stream_folder(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, i: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert [(r["identifier"], r["data"]) for r in got] == [("a.xml", "<a>\n</a>")] and os.listdir(tmp_path / "in") == ["a.xml"]
+
+
+def test_packets(spark, tmp_path):
+    import socket
+
+    from searchkit.sources import remote
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    remote.register(spark)
+    got = []
+    stream = spark.readStream.format("packets").option("port", port).option("wait", 0.3).load()
+    q = stream.writeStream.foreachBatch(lambda df, i: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        for _ in range(100):
+            s.sendto("päcket".encode(), ("127.0.0.1", port))
+            if got or q.exception():
+                break
+            q.awaitTermination(0.5)
+    q.stop()
+    assert q.exception() is None and got[0]["data"] == "päcket" and got[0]["host"] == "127.0.0.1"
