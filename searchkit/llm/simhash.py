@@ -45,6 +45,8 @@ from searchkit.llm.components import components
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Runs up to this long are compared all to all at once; longer ones member by member.
 SHORT_RUN = 48
+#: Keys of removed rows that may be broadcast (about 20 bytes each in memory).
+REMOVED_SENT = 1_000_000
 _U = np.uint64
 
 
@@ -325,15 +327,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: that of the smallest id (nulls last; among rows of that id, one)."""
+    found = near_duplicates(docs, id_col, text_col, shingle, distance).select(F.col(id_col).alias("_id"), "_key", "_root")
+    return keep_chosen(docs, found, "_root", id_col, text_col)
+
+
+def keep_chosen(docs: DataFrame, found: DataFrame, group: str, id_col: str, text_col: str, removed_sent: int = REMOVED_SENT) -> DataFrame:
+    """docs with one row of each group of found (_id, _key, group).
+
+    What goes is joined, not what stays: if a count shows it to be few, it is broadcast
+    and no text is shuffled; beyond that both sides are.
+    """
     docs = without(docs, ["_key"])
-    found = checkpoint(near_duplicates(docs, id_col, text_col, shingle, distance).select(F.col(id_col).alias("_id"), "_key", "_root"))
-    chosen = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_key").alias("c"))).alias("x"))
-    keys = checkpoint(chosen.select(F.col("x.c").alias("_key"), F.col("x.b").alias("_chosen")).distinct())
-    own = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
-    kept = docs.withColumn("_key", own).join(keys, "_key", "left_semi")
-    again = found.join(keys, "_key", "left_semi").groupBy("_key").count().where("count > 1").limit(1).count()
-    if again:  # repeated rows of a chosen document
-        kept = kept.dropDuplicates(["_key"])
+    found = checkpoint(found.select("_id", "_key", group))
+    chosen = found.groupBy(group).agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_key").alias("c"))).alias("x"))
+    keys = checkpoint(chosen.select(F.col("x.c").alias("_key")).distinct())
+    removed = checkpoint(found.select("_key").distinct().join(keys, "_key", "left_anti"))
+    repeated = checkpoint(found.join(keys, "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
+    rows = docs.withColumn("_key", F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)))
+    if removed.count() <= removed_sent:
+        removed = F.broadcast(removed)
+    kept = rows.join(removed, "_key", "left_anti")
+    again = repeated.count()
+    if again:  # rows of a chosen document that are equal in id and text
+        few = F.broadcast(repeated) if again <= removed_sent else repeated
+        kept = kept.join(few, "_key", "left_anti").unionByName(kept.join(few, "_key", "left_semi").dropDuplicates(["_key"]))
     return kept.select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from searchkit.llm import similar as s
+from searchkit.llm.simhash import keep_chosen
 
 
 def shingles(text):
@@ -56,6 +57,7 @@ def test_groups_against_brute_force(spark, hot):
         out.setdefault(r["group"], set()).add(r["_id"])
     assert sorted(map(sorted, out.values())) == groups(texts)
     assert sorted(r["doc_id"] for r in s.keep_one_similar(docs, hot=hot).collect()) == [g[0] for g in groups(texts)]
+    assert sorted(r["doc_id"] for r in keep_chosen(docs, s.similar_groups(docs), "group", "doc_id", "text", removed_sent=0).collect()) == [g[0] for g in groups(texts)]
 
 
 def test_odd_rows(spark):
