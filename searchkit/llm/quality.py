@@ -72,13 +72,16 @@ def _repeat_words(w: Column, width: int = 5) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(pairs, repeated))
 
-    hashes = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-    return F.when(n <= width, F.lit(0).cast("long")).otherwise(let(hashes, counted))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+
+    # Words are hashed once, windows over the words' hashes.
+    return F.when(n <= width, F.lit(0).cast("long")).otherwise(let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(windows(h), counted)))
 
 
 def _metrics(text: Column, stop_words: list[str]) -> Column:
     """A struct of counts for one text."""
-    stop, longest = F.array(*[F.lit(x) for x in stop_words]), max(map(len, stop_words))
+    longest = max(map(len, stop_words))
     w = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
@@ -87,19 +90,19 @@ def _metrics(text: Column, stop_words: list[str]) -> Column:
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             _repeat_words(w).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: (F.length(x) <= longest) & F.array_contains(stop, F.lower(x)))).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: (F.length(x) <= longest) & F.lower(x).isin(stop_words))).cast("long").alias("n_stop"),
         )
 
     def of_lines(lines: Column) -> Column:
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
-    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
     return F.struct(
         let(w, of).alias("w"),
         let(lines, of_lines).alias("l"),
         count("#*$%&|<>").alias("n_symbols"),
         count("|").alias("n_bars"),
-        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        count("A-Z").alias("n_upper"),
     )
 
 
