@@ -66,16 +66,18 @@ def _lexical(url: Column, path: Column) -> dict[str, Column]:
     only = lambda pattern: F.length(F.regexp_replace(url, pattern, ""))
     query = F.regexp_extract(url, "[?]([^#]*)", 1)
 
-    def entropy(chars: Column) -> Column:
-        count = lambda c: F.size(F.filter(chars, lambda x: x == c))
-        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - (count(c) / F.size(chars)) * F.log2(count(c) / F.size(chars)))
+    def entropy(shares: Column) -> Column:
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    # The share of each distinct character: what the URL loses without it.
+    shares = F.transform(F.array_distinct(F.split(url, "")), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n)
 
     return {
         "f_length": F.length(url).cast("double"),
         "f_depth": F.size(F.filter(F.split(path, "/"), lambda x: x != "")).cast("double"),
         "f_digits": only("[^0-9]") / n,
         "f_signs": only("[A-Za-z0-9/:.]") / n,
-        "f_entropy": F.when(url == "", F.lit(0.0)).otherwise(let(F.split(F.substring(url, 1, 2048), ""), entropy)),
+        "f_entropy": F.when(url == "", F.lit(0.0)).otherwise(let(F.filter(shares, lambda p: p > 0), entropy)),
         "f_params": F.when(query == "", F.lit(0.0)).otherwise(F.size(F.split(query, "&")).cast("double")),
         "f_last": F.length(F.regexp_extract(path, "([^/]*)/*$", 1)).cast("double"),
     }

@@ -80,3 +80,13 @@ def test_held_out_score_of_blocked_urls(spark):
 def test_no_python_in_the_plan(spark):
     plan = u.op2_url_filters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_entropy_is_that_of_the_whole_url(spark):
+    from collections import Counter
+
+    urls = ["http://a.org/x", "aaaa", "ab" * 3000, "é😀é", "x"]
+    frame = spark.createDataFrame([(x,) for x in urls], "url string")
+    for r in frame.select("url", u._lexical(u.F.col("url"), u.F.lit(""))["f_entropy"].alias("e")).collect():
+        shares = [k / len(r["url"]) for k in Counter(r["url"]).values()]
+        assert r["e"] == pytest.approx(-sum(p * math.log2(p) for p in shares))
