@@ -25,6 +25,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches of texts hold no more than so many rows, unless the session asks for fewer.
+
+    A batch is in memory several times (twice outside the JVM's heap, twice in Python).
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """The frame without columns whose names an operator is about to add (any case)."""
     taken = {n.lower() for n in names}

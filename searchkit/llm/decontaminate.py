@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import kernels
-from searchkit.llm.common import checkpoint, table, without
+from searchkit.llm.common import checkpoint, small_batches, table, without
 
 WINDOW = 8
 #: Characters of benchmark text that one broadcast block may hold (one longer item is a block of its own).
@@ -148,6 +148,7 @@ def _spans(data: np.ndarray, runs: list[tuple[int, int]]) -> list[dict[str, int]
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with n_words, n_hit, items (ids as strings, sorted) and spans (code points, end exclusive)."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     out = without(docs, [*ADDED, "_runs"])
     kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "_runs": T.ArrayType(T.StructType().add("a", "long").add("b", "long")), "spans": T.ArrayType(T.StructType().add("start", "long").add("end", "long"))}
     for k, grams in enumerate(_benchmark_blocks(benchmark, item_col, item_text_col, window, block_chars)):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import charkn, kernels
-from searchkit.llm.common import checkpoint, fold, table, without
+from searchkit.llm.common import checkpoint, fold, small_batches, table, without
 
 #: Labels that may be broadcast (about 60 bytes each in memory); beyond, they are joined by a shuffle.
 LABEL_ROWS = 1_000_000
@@ -95,6 +95,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_rows: int = LABEL_ROWS, curve_rows: int = CURVE_ROWS) -> DataFrame:
     """docs with score (double) and predicted (int), learnt from `training` rows joined to labels by id."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     n_labels = labels.count()
     if n_labels <= label_rows:
