@@ -8,10 +8,10 @@ inside a word (letters only, lower-cased; a boundary symbol before and after), s
 counting and scoring handle each distinct word of a batch once.
 
 Counting is distributed: every labelled text counts. Partitions emit their own
-sums, which Spark adds up. The model must be small enough to broadcast at any
-corpus size, hence one relative rule at every size: a (class, n-gram) is stored
-when it is at least 1 / max_entries of all n-gram tokens, so at most
-max_entries = CELLS / classes of them exist. Rarer ones fall to shorter histories.
+sums, which Spark adds up. Every class and every counted n-gram is stored, however
+rare, so continuation counts, discounts and backoff weights come from the whole
+counts, and the model grows with the distinct n-grams of the labelled texts. It is
+built on the driver and broadcast whole.
 
 `shared=True` smooths every class with the pooled counts of all classes instead
 of its own shorter histories: an expression that is rare in a class then has the
@@ -29,12 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchkit.llm import kernels
-from searchkit.llm.common import checkpoint
 
 ORDER, BITS = 6, 10
 EDGE = 32  # the boundary symbol; no letter folds to it
-#: Stored (class, n-gram) pairs times classes, at most.
-CELLS = 1 << 24
 #: Text that is handled at once.
 SLICE = 3 << 20
 #: Distinct (class, n-gram) sums that a task holds before it emits them.
@@ -275,18 +272,14 @@ def build(classes: list[str], cls: np.ndarray, code: np.ndarray, n: np.ndarray,
     return model
 
 
-def train(labelled: DataFrame, text_col: str, class_col: str, shared: bool = False, cells: int = CELLS) -> Model | None:
+def train(labelled: DataFrame, text_col: str, class_col: str, shared: bool = False) -> Model | None:
     """Count all labelled texts and build the model; None when no text has a class."""
-    summed = checkpoint(counts(labelled, text_col, class_col))
-    total = summed.agg(F.sum("n")).first()[0]
-    if not total:
+    summed = counts(labelled, text_col, class_col).toArrow()
+    if not summed.num_rows:
         return None
-    # A class needs 2^-16 of all n-gram tokens to be stored, so there are at most 2^16 of them.
-    by_class = summed.groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, total >> 16)).collect()
-    classes = sorted(r["cls"] for r in by_class)
-    least = total * len(classes) // cells
-    stored = summed.where(F.col("n") >= max(1, least)).toArrow()
-    number = {c: i for i, c in enumerate(classes)}
-    cls = np.array([number.get(c, -1) for c in stored["cls"].to_pylist()], np.int64)
-    keep = cls >= 0
-    return build(classes, cls[keep], stored["code"].to_numpy()[keep], stored["n"].to_numpy()[keep], shared)
+    names = summed["cls"].combine_chunks().dictionary_encode()
+    labels = names.dictionary.to_pylist()
+    classes = sorted(labels)
+    place = {c: i for i, c in enumerate(classes)}
+    number = np.array([place[x] for x in labels], np.int64)
+    return build(classes, number[names.indices.to_numpy()], summed["code"].to_numpy(), summed["n"].to_numpy(), shared)

@@ -54,6 +54,14 @@ def test_language_query_shape_and_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_a_rare_class_is_predicted(spark):
+    # "fr" has fewer than 2^-16 of all n-gram tokens.
+    rows = [(i, "quick brown fox " * 20000, "en") for i in range(8)] + [(8, "le renard saute", "fr"), (9, "le renard saute", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    by = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(docs, docs).collect()}
+    assert by[8] == by[9] == "fr" and all(by[i] == "en" for i in range(8))
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language.identify_language(docs, docs).first()["lang_pred"] == "und"
