@@ -62,6 +62,23 @@ def test_a_rare_class_is_predicted(spark):
     assert by[8] == by[9] == "fr" and all(by[i] == "en" for i in range(8))
 
 
+def test_the_model_has_the_whole_counts(spark):
+    rows = [("quick " * 180000, c) for c in "aabbccdd"] + [("le renard saute chien", "a"), ("chante enfant", "b"), ("dog dog", "c"), ("lazy", "d")]
+    model = charkn.train(spark.createDataFrame(rows, "text string, cls string").repartition(3), "text", "cls")
+    cls, code, n = [], [], []
+    for c, name in enumerate("abcd"):
+        d = charkn.distinct_words(*flat([t for t, x in rows if x == name]))
+        of_word = np.bincount(d.word, minlength=len(d.heads))
+        u, slot = np.unique(d.codes, return_inverse=True)
+        cls.append(np.full(len(u), c))
+        code.append(u)
+        n.append(np.bincount(slot, weights=np.repeat(of_word, d.events)).astype(np.int64))
+    want = charkn.build(list("abcd"), *(np.concatenate(x) for x in (cls, code, n)))
+    assert model.classes == want.classes
+    for got, level in zip(model.levels, want.levels, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(got, level, strict=True))
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language.identify_language(docs, docs).first()["lang_pred"] == "und"
