@@ -5,7 +5,8 @@ and the work stays in proportion to the text. A window's anchor is the smallest
 hash among its runs of ANCHOR words; equal windows have equal anchors.
 
 1. One pass counts anchors. A window whose anchor is the anchor of no other place
-   can't repeat; it goes no further.
+   can't repeat; it goes no further. A run of windows that share the place of their
+   anchor counts as two where it may hold equal windows itself.
 2. A second pass sends the stretches of text around repeated anchors, as 32-bit word
    hashes, to the anchor's shard.
 3. Each shard builds a compressed FM-index over its distinct stretches and streams
@@ -69,6 +70,12 @@ class _Runs:
         ends = np.flatnonzero(ok & ~np.append(ok[1:] & ~new[1:], False)) + 1 if len(ok) else self.heads
         self.sizes = ends - self.heads
         self.keys = low[self.heads] | np.uint64(0xFFF)
+        # Ties go to the leftmost place, so that equal windows are in different runs, but not where the
+        # place wraps: a run across a wrap counts as two if its anchor occurs twice among its words.
+        self.times = np.ones(len(self.heads), np.int64)
+        stops = self.heads + self.sizes + (window - anchor)  # of the run's grams
+        for i in np.flatnonzero(self.heads >> 12 != (stops - 1) >> 12).tolist():
+            self.times[i] += np.count_nonzero((grams[self.heads[i] : stops[i]] | np.uint64(0xFFF)) == self.keys[i]) > 1
 
 
 def _contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -87,7 +94,8 @@ def _each(batches: Iterator[pa.RecordBatch], window: int, anchor: int):
 def _count_anchors(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, r in _each(batches, window, anchor):
-            u, n = np.unique(r.keys, return_counts=True)
+            u, inv = np.unique(r.keys, return_inverse=True)
+            n = np.bincount(inv, weights=r.times, minlength=len(u)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return run

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from searchkit.llm.fmindex import FMIndex
-from searchkit.llm.substring import remove_repeats, repeated_windows
+from searchkit.llm.substring import ANCHOR, WINDOW, _count_anchors, remove_repeats, repeated_windows
 
 
 def brute(texts, n):
@@ -74,3 +75,23 @@ def test_colliding_byte_symbols_are_checked():
     b[20] += 255
     row, _, _ = repeated_windows(np.concatenate([a, b]), np.array([40, 40]), 35)
     assert not len(row)
+
+
+def test_periodic_texts_at_every_place():
+    # A line of eight words six times, wherever the place of an anchor wraps in it: its anchor counts twice.
+    for seed in range(4):
+        line = " ".join(f"s{seed}w{i}" for i in range(8))
+        key = next(_count_anchors(WINDOW, ANCHOR)(iter([pa.RecordBatch.from_arrays([pa.array([" ".join([line] * 6)])], names=["t"])])))["key"][0].as_py()
+        for before in range(4096 - 60, 4097):
+            batch = pa.RecordBatch.from_arrays([pa.array(["x " * before, " ".join([line] * 6)])], names=["t"])
+            counted = next(_count_anchors(WINDOW, ANCHOR)(iter([batch])))
+            assert dict(zip(*(counted[c].to_pylist() for c in ("key", "n")), strict=True))[key] > 1, (seed, before)
+
+
+def test_a_periodic_text_across_the_wrap(spark):
+    docs = []
+    for k, before in enumerate(range(4096 - 48, 4097, 4)):
+        words = [f"d{k}w{i}" for i in range(before)] + [f"p{k}q{i}" for i in range(8)] * 6
+        docs.append((k, " ".join(words)))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(len(docs))).collect()}
+    assert got == dict(enumerate(brute([t for _, t in docs], 35)))
