@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from searchkit.llm import kernels
 from searchkit.llm import similar as s
 from searchkit.llm.simhash import keep_chosen
 
@@ -64,3 +67,61 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g", 1), (3, "a b c d e f g", 2), (3, "a b c d e f g", 2), (None, "x", None)], "doc_id long, text string, _key int")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in s.keep_one_similar(docs).collect()) == [(0, "x"), (3, "a b c d e f g")]
     assert s.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def parts_of(texts):
+    return s.sketches(*kernels.flat(pa.array(texts)))[2]
+
+
+def test_a_pair_whose_one_common_part_is_hot(spark):
+    rng = random.Random(3)
+    while True:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        copy = list(base)
+        copy[20] = copy[40] = "other"
+        if len(shingles(" ".join(base)) & shingles(" ".join(copy))) / len(shingles(" ".join(base)) | shingles(" ".join(copy))) < 0.69:
+            continue
+        a, b = parts_of([" ".join(base), " ".join(copy)])
+        if (a == b).sum() == 1:
+            break
+    p = int(np.flatnonzero(a == b)[0])
+    least = next(g for g in (base[i : i + 5] for i in range(56)) if parts_of([" ".join(g)])[0, p] == a[p])
+    more = [t for t in (" ".join([*least, f"x{i}"]) for i in range(40)) if parts_of([t])[0, p] == a[p]]
+    texts = [" ".join(base), " ".join(copy), *more]
+    assert len(more) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    by = {r["_id"]: r["group"] for r in s.similar_groups(docs, similarity=0.69, hot=3).collect()}
+    assert by[0] == by[1] and by[0] not in {by[i] for i in range(2, len(texts))}
+
+
+def test_the_exact_check_decides_alone():
+    # Whatever SimHash says; among few members and among many.
+    rng = np.random.default_rng(5)
+    for n in (2, 40):
+        sets = [np.unique(rng.integers(0, 1 << 32, 100, np.uint32)) for _ in range(n)]
+        sets[1] = np.unique(np.append(sets[0][5:], sets[1][:2]))
+        fp = np.where(np.arange(n) == 1, ~np.uint64(0), np.uint64(0))
+        assert list(s.forest(np.arange(n), fp, sets, np.zeros(n, bool), 0.8)) == [(1, 0)]
+
+
+@pytest.mark.parametrize("ordered", [4_000_000, 0])
+def test_forest_against_all_pairs(monkeypatch, ordered):
+    monkeypatch.setattr(s, "ORDERED", ordered)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        pool, sets = np.unique(rng.integers(0, 1 << 32, 60, np.uint32)), []
+        for _ in range(50):
+            sets.append(np.unique(np.append(rng.choice(pool, rng.integers(30, 55), replace=False), rng.integers(0, 1 << 32, rng.integers(0, 12), np.uint32))))
+        want = {(i, j) for i in range(50) for j in range(i) if s.jaccard(sets[i], sets[j]) >= 0.8}
+        root = list(range(50))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        got = set(s.forest(np.arange(50), np.zeros(50, np.uint64), sets, np.zeros(50, bool), 0.8))
+        assert all((max(e), min(e)) in want for e in got)
+        for i, j in got:
+            root[find(i)] = find(j)
+        assert all(find(i) == find(j) for i, j in want)
