@@ -9,8 +9,9 @@ that hold the blob.
 Match positions without user functions: `split` gives the text between matches and
 `regexp_extract_all` the matches; running lengths of the two are the spans.
 
-Base rules assign, access and hex; the method adds private-key blocks, JSON web
-tokens and prefixed service tokens. A match is leftmost and doesn't overlap others of
+Base rules assign, access and hex; the method adds private keys, JSON web tokens and
+prefixed service tokens. Of a private key RULES, and so `op6_secrets` and its SQL, give
+the header line; `redact` replaces the whole key (WHOLE_KEYS). A match is leftmost and doesn't overlap others of
 its kind; one that fails its kind's length is dropped after it was matched.
 
 Defined cases: a null text is an empty one; repeated rows are paths of one blob;
@@ -52,6 +53,14 @@ RULES = (
     Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40, False),
     Rule("service", "(?:ghp_|gho_|ghs_|xoxb-|xoxp-|sk_live_|glpat-)[A-Za-z0-9_-]+", 0, 20, False),
 )
+#: A private key whole: to its END line, or without one to the end of its base64 lines (line breaks may be written out or spaces).
+_BREAK = "(?:[\\x20\\t]*+(?:\\r?\\n|\\r|\\\\r\\\\n|\\\\n|\\\\r)[\\x20\\t]*+)"
+_KEY = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    f"|(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\\r\\n\\\\]*+)*+"
+    f"(?:{_BREAK}*+[\\x20\\t]*+[A-Za-z0-9+/=]{{40,}}+|{_BREAK}++[A-Za-z0-9+/=]++(?=[\\x20\\t]*+(?:[\\r\\n\\\\\"']|-----|\\z)))*+)"
+)
+WHOLE_KEYS = tuple(Rule(r.kind, _KEY, r.group, r.least, r.base) if r.kind == "pem" else r for r in RULES)
 #: Rules whose pattern, being one greedy class, may ask for its length itself (the same matches, fewer of them).
 _SELF = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 ADDED = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "secret_spans")
@@ -147,7 +156,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", ledger: Ledger | None
     })
 
 
-def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, few_bytes: int = 64 << 20) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = WHOLE_KEYS, few_bytes: int = 64 << 20) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets (overlapping spans as one, by the first's kind)."""
     found = checkpoint((ledger or Ledger(docs.sparkSession)).findings(docs, text_col, rules).where(F.size("secret_spans") > 0).select(F.col("blob").alias("_blob"), F.col("secret_spans").alias("_spans")))
     size = found.agg(F.sum(F.lit(150) + 40 * F.size("_spans"))).first()[0] or 0

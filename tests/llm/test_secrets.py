@@ -60,6 +60,28 @@ def test_redaction(spark):
     assert s.redact(docs.limit(0)).count() == 0 and s.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_redaction_leaves_no_key_body(spark):
+    body = ["MIIEpAIBAAKCAQEA" + "aB3+/x9Z" * 6, "Qk1" + "Zz0/y+7K" * 7 + "q", "tail9w=="]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    cases = [
+        ("a\n" + "\n".join([head, *body, foot]) + "\nafter it", "a\n<pem>\nafter it"),
+        ("\r\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body, foot]) + " z", "<pem> z"),
+        ('{"key": "' + "\\n".join([head, *body, foot]) + '\\n"}', '{"key": "<pem>\\n"}'),
+        (" ".join([head, *body, foot]) + " then prose", "<pem> then prose"),
+        ("\n".join([head, *body]) + "\nand then prose goes on", "<pem>\nand then prose goes on"),
+        ("\n".join([head, *body]), "<pem>"),
+        ('x = "' + "\\n".join([head, *body]) + '"', 'x = "<pem>"'),
+        ("\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body]), "<pem>"),
+        ("\n".join([head, *body, head, *body, foot]) + "\nend of it", "<pem>\n<pem>\nend of it"),
+        (head + " is a header in this prose", "<pem> is a header in this prose"),
+        ("\n".join([head, *body * 20000, foot]) + " long", "<pem> long"),
+        (head + "a-b" * 50000 + foot, "<pem>"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in s.redact(docs).collect()}
+    assert rows == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_no_python_in_the_plan(spark):
     plan = s.op6_secrets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
