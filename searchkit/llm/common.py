@@ -60,6 +60,13 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def sampled(key: str | Column, share: float) -> Column:
+    """Whether a row is in a sample of so large a share, by 64 bits of a hash of its key."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(F.lit(3), key) < F.lit(int((share - 0.5) * 2**64))
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % n

@@ -8,12 +8,13 @@ most toxic distinct words. A logistic curve over these, fitted on labelled rows
 that the models haven't counted, turns them into a score between 0 and 1.
 
 Every labelled training row is counted; only the curve is fitted on a bounded
-sample (CURVE_ROWS). Texts are never shuffled: labels reach them by a broadcast
-if a count has shown them to be few enough (LABEL_ROWS), else by a join.
+sample (CURVE_ROWS). Texts are never shuffled: labels reach them as a sorted map of
+ids in blocks of bounded size (`blocks.Lookup`), looked up in the task that counts.
 
 Defined cases: a null or wordless text has differences of zero, and so the score
 that the curve gives nothing; a doc_id with several labels is toxic if one is; a
-null doc_id has no label and isn't held out; without labels of both classes every
+null doc_id has no label and isn't held out; repeated rows count and are scored row
+by row, and ties in a word's gain go either way to the same sums; without labels of both classes every
 score is 0; columns of the names that the operator adds are replaced.
 """
 
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import charkn, kernels
-from searchkit.llm.common import checkpoint, fold, small_batches, table, without
+from searchkit.llm.blocks import BLOCK_BYTES, Lookup, Prepare, lookup_key
+from searchkit.llm.common import checkpoint, fold, sampled, small_batches, table, without
 
-#: Labels that may be broadcast (about 60 bytes each in memory); beyond, they are joined by a shuffle.
-LABEL_ROWS = 1_000_000
 #: Labelled rows that the curve is fitted on, at most.
 CURVE_ROWS = 50_000
 ADDED = ("score", "predicted")
@@ -42,13 +42,8 @@ def _features(model: charkn.Model | None, data: np.ndarray, offsets: np.ndarray)
     out = np.zeros((len(offsets) - 1, 3))
     if model is None:
         return out
-    for a, b in kernels.slices(offsets, charkn.SLICE):
-        d = charkn.distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        if d is None:
-            continue
-        codes, slot = np.unique(d.codes, return_inverse=True)
-        logp = model.log_probs(codes).astype(np.float64)
-        gain = np.add.reduceat((logp[:, 1] - logp[:, 0])[slot], d.heads)
+    for a, b, d, logp in model.each(data, offsets):
+        gain = np.add.reduceat(logp[:, 1] - logp[:, 0], d.heads)
         n = np.maximum(np.diff(d.first), 1)
         out[a:b, 0] = charkn.segment_sums(gain[:, None], d.word, d.first)[:, 0] / n
         # Distinct words of each document, with the largest gain last.
@@ -67,16 +62,25 @@ def _features(model: charkn.Model | None, data: np.ndarray, offsets: np.ndarray)
 
 
 def _scored(df: DataFrame, model: charkn.Model | None, text_col: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _features(shared.value, *kernels.flat(batch.column(batch.schema.names.index(text_col))))
+            x = _features(model, *kernels.flat(batch.column(batch.schema.names.index(text_col))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x[:, i]) for i in range(3)]], names=[*batch.schema.names, *FEATURES])
 
     return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in FEATURES]))
 
 
+def _labelled(labels: Lookup) -> Prepare:
+    """Of (key, text): (text, cls) of the rows that have a label."""
+
+    def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit, y = labels.find(batch.column(0))
+        at = pa.array(np.flatnonzero(hit))
+        return pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array(np.where(y[hit] > 0, "1", "0").astype(object), pa.string())], names=["text", "cls"])
+
+    return prepare
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve, the intercept last (Newton's method, slightly ridged)."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -93,27 +97,27 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_rows: int = LABEL_ROWS, curve_rows: int = CURVE_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", curve_rows: int = CURVE_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with score (double) and predicted (int), learnt from `training` rows joined to labels by id."""
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    n_labels = labels.count()
-    if n_labels <= label_rows:
-        known = F.broadcast(known)
-    else:
-        known = checkpoint(known)
-    part = F.pmod(F.floor(F.crc32(F.col("_id").cast("string")) / 5), F.lit(8))
-    rows = training.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(known, "_id").withColumn("_part", part)
-    if n_labels > label_rows:
-        rows = checkpoint(rows)  # read twice, shuffled once
-    model = charkn.train(rows.where("_part <> 0"), "text", "_y", shared=True)
+    labels = labels.select(F.col(id_col).cast(training.schema[id_col].dataType), F.col(label_col).cast("int").alias("y"))
+    labels = labels.select(lookup_key(labels, id_col).alias("key"), "y")
+    known = checkpoint(labels.where("key is not null and y is not null").groupBy("key").agg(F.max("y").alias("value")))
+    lookup = Lookup(known, block_bytes)
+    part = F.pmod(F.floor(F.crc32(F.col(id_col).cast("string")) / 5), F.lit(8))
+    rows = training.where(F.col(id_col).isNotNull()).select(lookup_key(training, id_col).alias("key"), F.col(text_col).alias("text"), part.alias("part"))
+    model = charkn.train(rows.where("part <> 0").select("key", "text"), shared=True, prepare=_labelled(lookup), block_bytes=block_bytes)
     weights = None
     if model is not None and len(model.classes) == 2:
-        sample = rows.where("_part = 0")
-        share = min(1.0, curve_rows / max(1.0, n_labels / 8))
-        sample = sample.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-        fit = _scored(sample.select("text", "_y"), model, "text").select(*FEATURES, "_y").toArrow()
-        y = fit["_y"].to_numpy().astype(float)
+        sample = rows.where("part = 0").where(sampled("key", curve_rows / max(1.0, known.count() / 8))).select("key", "text")
+
+        def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in map(_labelled(lookup), batches):
+                x = _features(model, *kernels.flat(batch.column(0)))
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[:, i]) for i in range(3)], batch.column(1)], names=[*FEATURES, "y"])
+
+        fit = sample.mapInArrow(fitted, ", ".join(f"{n} double" for n in FEATURES) + ", y string").toArrow()
+        y = (fit["y"].to_numpy() == "1").astype(float)
         if 0 < y.sum() < len(y):
             weights = _curve(np.column_stack([fit[f].to_numpy() for f in FEATURES]), y)
         elif len(y) == 0:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,21 +63,71 @@ def test_a_rare_class_is_predicted(spark):
     assert by[8] == by[9] == "fr" and all(by[i] == "en" for i in range(8))
 
 
-def test_the_model_has_the_whole_counts(spark):
-    rows = [("quick " * 180000, c) for c in "aabbccdd"] + [("le renard saute chien", "a"), ("chante enfant", "b"), ("dog dog", "c"), ("lazy", "d")]
-    model = charkn.train(spark.createDataFrame(rows, "text string, cls string").repartition(3), "text", "cls")
-    cls, code, n = [], [], []
-    for c, name in enumerate("abcd"):
-        d = charkn.distinct_words(*flat([t for t, x in rows if x == name]))
-        of_word = np.bincount(d.word, minlength=len(d.heads))
-        u, slot = np.unique(d.codes, return_inverse=True)
-        cls.append(np.full(len(u), c))
-        code.append(u)
-        n.append(np.bincount(slot, weights=np.repeat(of_word, d.events)).astype(np.int64))
-    want = charkn.build(list("abcd"), *(np.concatenate(x) for x in (cls, code, n)))
-    assert model.classes == want.classes
-    for got, level in zip(model.levels, want.levels, strict=True):
-        assert all(np.array_equal(x, y) for x, y in zip(got, level, strict=True))
+def plain(texts_by_class, shared=False):
+    """Kneser-Ney by definition, on strings: (class, six symbols) -> probability. Words are of plain letters."""
+    order, edge, uniform = charkn.ORDER, " ", 1 / (1 << charkn.BITS)
+
+    def events(texts):
+        for word in " ".join(texts).lower().split():
+            padded = edge * (order - 1) + edge + word + edge
+            for i in range(order, len(padded)):
+                yield padded[i - order + 1 : i + 1]
+
+    def chain(top):
+        levels = {order: top}
+        for k in range(order - 1, 0, -1):
+            levels[k] = Counter()
+            for gram, n in levels[k + 1].items():
+                levels[k][gram[1:]] += n if gram[1] == edge else 1
+        return levels
+
+    tops = {c: Counter(events(t)) for c, t in texts_by_class.items()}
+    chains = {c: chain(t) for c, t in tops.items()}
+    chains["all"] = chain(sum(tops.values(), Counter()))
+
+    def discount(level):
+        one, two = (sum(n == x for n in level.values()) for x in (1, 2))
+        return min(max(one / (one + 2 * two), 0.1), 0.9) if one else 0.5
+
+    sums = {}
+    for c, levels in chains.items():
+        for k, level in levels.items():
+            total, types = Counter(), Counter()
+            for gram, n in level.items():
+                total[gram[:-1]] += n
+                types[gram[:-1]] += 1
+            sums[c, k] = discount(level), total, types
+
+    def interpolate(c, k, gram, lower):
+        d, total, types = sums[c, k]
+        h = gram[:-1]
+        return (max(chains[c][k][gram] - d, 0) + d * types[h] * lower) / total[h] if total[h] else lower
+
+    def p(c, gram):
+        of = "all" if shared else c
+        out = uniform
+        for k in range(1, order + 1):
+            out = interpolate(of, k, gram[order - k :], out)
+        return interpolate(c, order, gram, out) if shared else out
+
+    return p
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("options", [{}, {"cell_grams": 3, "block_bytes": 1}])
+def test_against_kneser_ney_by_definition(spark, shared, options):
+    # One class of few words, and a class that holds far less than 2^-16 of what another has.
+    texts = {"a": ["quick " * 180_000, "the lazy dog chases quick cats"], "b": ["le renard saute par dessus le chien", "chante enfant"], "c": ["quick dog"], "d": ["lazy"]}
+    frame = spark.createDataFrame([(t, c) for c, ts in texts.items() for t in ts], "text string, cls string").repartition(3)
+    model = charkn.train(frame, shared, **options)
+    assert model.classes == list("abcd") and (not options or len(model.blocks) > 5)
+    p = plain(texts, shared)
+    asked = ["     q", "    qu", " quick", "quick ", "enfant", "renard", "zzzzzz", "     z", "xquick", "s quic", "dog   ", "uick  ", "azy   ", "lazy x"]
+    asked += [w[i : i + 6] for w in ["     the lazy dog      ", "     chases      "] for i in range(len(w) - 5)]
+    codes = np.array([sum(ord(ch) << (charkn.BITS * (5 - i)) for i, ch in enumerate(g)) for g in asked], np.int64)
+    got = np.exp(model.log_probs(codes).astype(float))
+    want = np.array([[p(c, g) for c in "abcd"] for g in asked])
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-9)
 
 
 def test_language_without_labels(spark):
@@ -99,13 +150,13 @@ def toxic_sample():
     return docs, labels
 
 
-@pytest.mark.parametrize("label_rows", [4_000_000, 0])
-def test_toxicity_held_out(spark, label_rows):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_toxicity_held_out(spark, block_bytes):
     docs, labels = toxic_sample()
     more = [(5000, None), (5001, ""), (5002, "..."), (None, "you idiot moron scum you idiot"), (5003, "dog " * 30000)]
     frame = spark.createDataFrame([(*r, 9) for r in docs + more], "doc_id long, text string, predicted int").repartition(3)
     lab = spark.createDataFrame(labels + [(5000, None), (None, 1)], "doc_id long, toxic int")
-    out = toxicity.score_toxicity(frame, toxicity.training_rows(frame), lab, label_rows=label_rows).collect()
+    out = toxicity.score_toxicity(frame, toxicity.training_rows(frame), lab, block_bytes=block_bytes).collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == len(docs) + len(more)
     truth = dict(labels)
@@ -115,6 +166,28 @@ def test_toxicity_held_out(spark, label_rows):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_repeated_rows_and_very_long_texts(spark):
+    docs, labels = toxic_sample()
+    more = docs[:40] * 2 + [(6000, " ".join(EN) * 20000 + " idiot"), (6001, "idiot moron scum " * 20000)]
+    frame = spark.createDataFrame(docs + more, "doc_id long, text string").repartition(3)
+    rows = toxicity.score_toxicity(frame, toxicity.training_rows(frame), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(rows) == len(docs) + len(more)
+    assert len({(r["doc_id"], r["score"]) for r in rows}) == len(docs) + 2
+    by = {r["doc_id"]: r["predicted"] for r in rows}
+    assert by[6001] == 1
+    lang = [(i, t, c) for i, t, c in sample(60)] * 2
+    frame = spark.createDataFrame(lang, "doc_id long, text string, lang string").repartition(2)
+    out = language.identify_language(frame, frame).collect()
+    assert len(out) == 120 and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in out}) == 60
+
+
+def test_no_text_is_shuffled(spark):
+    docs, labels = toxic_sample()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    scored = toxicity.score_toxicity(frame, toxicity.training_rows(frame), spark.createDataFrame(labels, "doc_id long, toxic int"), block_bytes=100)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_toxicity_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
