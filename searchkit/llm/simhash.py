@@ -39,14 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import kernels
+from searchkit.llm.blocks import BLOCK_BYTES, Lookup, with_found
 from searchkit.llm.common import checkpoint, table, without
 from searchkit.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Runs up to this long are compared all to all at once; longer ones member by member.
 SHORT_RUN = 48
-#: Keys of removed rows that may be broadcast (about 20 bytes each in memory).
-REMOVED_SENT = 1_000_000
 _U = np.uint64
 
 
@@ -331,26 +330,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return keep_chosen(docs, found, "_root", id_col, text_col)
 
 
-def keep_chosen(docs: DataFrame, found: DataFrame, group: str, id_col: str, text_col: str, removed_sent: int = REMOVED_SENT) -> DataFrame:
+def keep_chosen(docs: DataFrame, found: DataFrame, group: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with one row of each group of found (_id, _key, group).
 
-    What goes is joined, not what stays: if a count shows it to be few, it is broadcast
-    and no text is shuffled; beyond that both sides are.
+    The keys of what goes are looked up in the scan, in blocks of bounded size, so no text is shuffled,
+    but for rows of a chosen document that are equal in id and text.
     """
-    docs = without(docs, ["_key"])
+    docs = without(docs, ["_key", "_found", "_mark"])
     found = checkpoint(found.select("_id", "_key", group))
     chosen = found.groupBy(group).agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_key").alias("c"))).alias("x"))
     keys = checkpoint(chosen.select(F.col("x.c").alias("_key")).distinct())
-    removed = checkpoint(found.select("_key").distinct().join(keys, "_key", "left_anti"))
-    repeated = checkpoint(found.join(keys, "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
-    rows = docs.withColumn("_key", F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)))
-    if removed.count() <= removed_sent:
-        removed = F.broadcast(removed)
-    kept = rows.join(removed, "_key", "left_anti")
-    again = repeated.count()
-    if again:  # rows of a chosen document that are equal in id and text
-        few = F.broadcast(repeated) if again <= removed_sent else repeated
-        kept = kept.join(few, "_key", "left_anti").unionByName(kept.join(few, "_key", "left_semi").dropDuplicates(["_key"]))
+    removed = found.select("_key").distinct().join(keys, "_key", "left_anti").select(F.col("_key").alias("key"), F.lit(1).alias("value"))
+    repeated = found.join(keys, "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_key").alias("key"), F.lit(2).alias("value"))
+    marks = checkpoint(removed.unionByName(repeated))
+    marked = with_found(docs.withColumn("_key", F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))), Lookup(marks, block_bytes), "_key", "_found", "_mark")
+    kept = marked.where("not _found")
+    if marks.where("value = 2").limit(1).count():
+        kept = kept.unionByName(marked.where("_mark = 2").dropDuplicates(["_key"]))
     return kept.select(*docs.columns)
 
 

@@ -51,16 +51,16 @@ def corpus():
     return texts + [texts[12]] * 4
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_groups_against_brute_force(spark, hot):
+@pytest.mark.parametrize("options", [{}, {"hot": 3, "common": 2, "block_bytes": 300}, {"hot": 2, "common": 1000}, {"grams": 150}])
+def test_groups_against_brute_force(spark, options):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, fp int").repartition(3)
     out = {}
-    for r in s.similar_groups(docs, hot=hot).collect():
+    for r in s.similar_groups(docs, **options).collect():
         out.setdefault(r["group"], set()).add(r["_id"])
     assert sorted(map(sorted, out.values())) == groups(texts)
-    assert sorted(r["doc_id"] for r in s.keep_one_similar(docs, hot=hot).collect()) == [g[0] for g in groups(texts)]
-    assert sorted(r["doc_id"] for r in keep_chosen(docs, s.similar_groups(docs), "group", "doc_id", "text", removed_sent=0).collect()) == [g[0] for g in groups(texts)]
+    assert sorted(r["doc_id"] for r in s.keep_one_similar(docs, **options).collect()) == [g[0] for g in groups(texts)]
+    assert sorted(r["doc_id"] for r in keep_chosen(docs, s.similar_groups(docs), "group", "doc_id", "text", block_bytes=1).collect()) == [g[0] for g in groups(texts)]
 
 
 def test_odd_rows(spark):
@@ -69,6 +69,43 @@ def test_odd_rows(spark):
     assert s.keep_one_similar(docs.limit(0)).count() == 0
 
 
+def test_many_texts_around_one_passage(spark):
+    # Half of each text is a common passage: they meet in large part values, but aren't similar; every fifth has a near copy.
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(150):
+        own = [f"d{i}w{j}" for j in range(44)]
+        texts.append(" ".join(own[:22] + passage + own[22:]))
+        if i % 5 == 0:
+            own[rng.randrange(44)] = "edited"
+            texts.append(" ".join(own[:22] + passage + own[22:]))
+    texts += [" ".join(passage + [f"e{i}w{j}" for j in range(6)]) for i in range(30)]  # four fifths and more are the passage
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {}
+    for r in s.similar_groups(docs, hot=8, common=4).collect():
+        out.setdefault(r["group"], set()).add(r["_id"])
+    assert sorted(map(sorted, out.values())) == groups(texts)
+
+
+def test_very_long_texts_and_ties(spark):
+    rng = random.Random(14)
+    long = [f"w{rng.randrange(5000)}" for _ in range(30_000)]
+    other = list(long)
+    other[100] = other[20_000] = "edited"
+    texts = [" ".join(long), " ".join(other), " ".join(long[:15_000]), "tie tie tie tie tie tie", "tie tie tie tie tie", "TIE tie tie tie tie tie tie"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1, texts[1], "y"), (None, texts[2], "z")], "doc_id long, text string, _key string").repartition(3)
+    for options in ({}, {"grams": 1000}):
+        kept = s.keep_one_similar(docs, **options).collect()
+        assert sorted((r["doc_id"] for r in kept)) == [g[0] for g in groups(texts)] == [0, 2, 3]
+
+
+def test_no_text_is_shuffled(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "doc_id long, text string")
+    plan = s.keep_one_similar(docs.where("doc_id < 40"), block_bytes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def parts_of(texts):
     return s.sketches(*kernels.flat(pa.array(texts)))[2]
 
