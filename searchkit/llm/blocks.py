@@ -44,10 +44,15 @@ class Blocks:
     def __len__(self) -> int:
         return len(self._parts)
 
+    @property
+    def held(self) -> bool:
+        """Whether a worker keeps all blocks once it has read them."""
+        return self.n_bytes <= self._held_bytes
+
     def __iter__(self) -> Iterator[Any]:
         for part in self._parts:
             yield part.value
-            if self.n_bytes > self._held_bytes and not isinstance(part, _Own):
+            if not self.held and not isinstance(part, _Own):
                 part.__dict__.pop("_value", None)  # read again from the executor's copy when it is needed
 
 

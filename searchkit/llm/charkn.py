@@ -46,6 +46,8 @@ ORDER, BITS = 6, 10
 EDGE = 32  # the boundary symbol; no letter folds to it
 #: Text that is handled at once.
 SLICE = 3 << 20
+#: Slices that are looked up at once in a model that a worker doesn't hold whole.
+TOGETHER = 4
 #: Distinct (class, n-gram) sums that a task holds before it emits them.
 TASK_SUMS = 2_000_000
 #: Orders from this one on are made in cells; cells at least, and n-grams that one is meant to have.
@@ -205,13 +207,19 @@ class Model:
     def each(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Distinct, np.ndarray]]:
         """Of each slice [a, b) of documents with a word: its distinct words and the log-probabilities of their events.
 
-        The events of all slices are looked up at once, so blocks are read once a batch.
+        Where a worker reads the blocks anew each time, the events of a few slices are looked up at once.
         """
-        parts = []
+        parts, together = [], 1 if self.blocks.held else TOGETHER
         for a, b in kernels.slices(offsets, SLICE):
             d = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if d is not None:
                 parts.append((a, b, d))
+            if len(parts) == together:
+                yield from self._looked_up(parts)
+                parts = []
+        yield from self._looked_up(parts)
+
+    def _looked_up(self, parts: list[tuple[int, int, Distinct]]) -> Iterator[tuple[int, int, Distinct, np.ndarray]]:
         if not parts:
             return
         codes, slot = np.unique(np.concatenate([d.codes for _, _, d in parts]), return_inverse=True)
