@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from searchkit.llm.common import checkpoint
 
 #: Bytes of one block, and of all blocks up to which a worker keeps what it has read.
-BLOCK_BYTES, HELD_BYTES = 32 << 20, 96 << 20
+BLOCK_BYTES, HELD_BYTES = 8 << 20, 96 << 20
 
 
 class _Own:
@@ -86,27 +86,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows:
         key, value = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in (0, 1))
         order = np.argsort(key, kind="stable")
-        packed = key[order].astype("<i8").tobytes() + value[order].astype("<f4").tobytes()
+        packed = key[order].astype("<i8").tobytes() + value[order].astype("<f8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["packed"])
 
 
 class Lookup:
-    """A map from distinct 64-bit keys to numbers (32-bit floats), as sorted arrays in blocks."""
+    """A map from distinct 64-bit keys to numbers, as sorted arrays in blocks."""
 
     def __init__(self, table: DataFrame, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES):
         """table: (key long, value) without nulls, checkpointed."""
         n = table.count()
-        parts = max(1, -(-12 * n // max(1, block_bytes // 2)))
-        packed = checkpoint(table.select("key", F.col("value").cast("float").alias("value")).repartition(parts, "key").mapInArrow(_pack, "packed binary"))
+        parts = max(1, -(-16 * n // max(1, block_bytes // 2)))
+        packed = checkpoint(table.select("key", F.col("value").cast("double").alias("value")).repartition(parts, "key").mapInArrow(_pack, "packed binary"))
         self._blocks = Blocks(table.sparkSession, map(self._block, gathered(packed, "packed", block_bytes)), held_bytes)
 
     @staticmethod
     def _block(rows: list[Row]) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-        each = [(x, len(x) // 12) for x in (bytes(r["packed"]) for r in rows)]
+        each = [(x, len(x) // 16) for x in (bytes(r["packed"]) for r in rows)]
         key = np.concatenate([np.frombuffer(x, "<i8", n) for x, n in each])
-        value = np.concatenate([np.frombuffer(x, "<f4", n, 8 * n) for x, n in each])
+        value = np.concatenate([np.frombuffer(x, "<f8", n, 8 * n) for x, n in each])
         order = np.argsort(key, kind="stable")
-        return (key[order], value[order]), 12 * len(key)
+        return (key[order], value[order]), 16 * len(key)
 
     def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are in the map, and their values (0 for others); a null key isn't."""

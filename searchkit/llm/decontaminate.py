@@ -1,129 +1,167 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
-The n-grams of the benchmark (8 consecutive words; a shorter item is one n-gram)
-are hashed and broadcast in blocks of bounded size; documents stream past them in
-Arrow batches, a hash hit is verified word by word, and the hit spans, or the
-documents that hold them, are removed. Documents are never shuffled. A benchmark
-that fits one block costs one pass; a larger one costs a pass a block, with the
-findings so far carried along in the row, so there is no size at which another
-algorithm or another result begins.
+The n-grams of the benchmark (8 consecutive words; a shorter item is one n-gram) are
+packed by the executors: sorted 64-bit hashes, and beside each where its words stand in
+the benchmark's text. They are broadcast in blocks of bounded bytes, of which a task holds
+one at a time (`blocks`); documents stream past them once, in Arrow batches, a hash
+hit is verified on the words themselves, and the hit spans, or the documents that
+hold them, are removed. Documents are never shuffled, at any size of the benchmark.
 
 Defined cases: a null or wordless text hits nothing; a benchmark row without words
-is no item; rows of one item_id are one item; a null item_id marks words but is
-no item; repeated documents are judged row by row; columns that the operator adds
+is no item; rows of one item_id are one item, equal rows are one; a null item_id marks
+words but is no item; repeated documents are judged row by row; very long texts and items
+are handled whole; an empty benchmark hits nothing; columns that the operator adds
 replace columns of these names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import kernels
+from searchkit.llm.blocks import BLOCK_BYTES, Blocks, gathered
 from searchkit.llm.common import checkpoint, small_batches, table, without
 
 WINDOW = 8
-#: Characters of benchmark text that one broadcast block may hold (one longer item is a block of its own).
-BLOCK_CHARS = 8_000_000
-
-ADDED = ("n_words", "n_hit", "items", "spans")
-
-
-class _Grams:
-    """The n-grams of one block: by length a sorted array of hashes, and what each spells."""
-
-    def __init__(self, rows: list[tuple[str | None, str]], window: int):
-        self.by_length: dict[int, np.ndarray] = {}
-        self.items: dict[bytes, set[str | None]] = defaultdict(set)
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, text in rows:
-            data, offsets = kernels.flat(pa.array([text], pa.string()))
-            w = kernels.Words(kernels.LOWER[data], offsets, kernels.ALNUM_WORDS)
-            if not len(w):
-                continue
-            k = min(window, len(w))
-            spelt = [w.data[a:b].tobytes() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-            for i in range(len(spelt) - k + 1):
-                self.items[b" ".join(spelt[i : i + k])].add(item)
-            found[k].append(kernels.gram_hashes(w.hashes, k))
-        for k, parts in found.items():
-            self.by_length[k] = np.unique(np.concatenate(parts))
-
-
-def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_chars: int) -> Iterator[_Grams]:
-    """The benchmark in blocks whose sizes are counted before any is collected."""
+#: Bytes of benchmark text that an executor packs at once (one longer item is packed by itself).
+PIECE = 1 << 20
+
+ADDED = ("n_words", "n_hit", "n_whole", "items", "spans")
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+@dataclass
+class Grams:
+    """N-grams of some benchmark rows: by length sorted hashes, where in `text` each begins and ends, and its row."""
+
+    items: list[str | None]
+    text: np.ndarray
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    @property
+    def n_bytes(self) -> int:
+        return len(self.text) + sum(x.nbytes for xs in self.by_length.values() for x in xs)
+
+    @staticmethod
+    def of(items: list[str | None], data: np.ndarray, offsets: np.ndarray, window: int) -> Grams:
+        w = kernels.Words(kernels.LOWER[data], offsets, kernels.ALNUM_WORDS)
+        size = w.ends - w.starts
+        at = np.cumsum(size + 1) - (size + 1)
+        inner = np.arange(int(size.sum()))
+        text = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        text[inner + np.repeat(np.arange(len(size)), size)] = w.data[inner + np.repeat(w.starts - (np.cumsum(size) - size), size)]
+        n = np.diff(w.first)
+        row = np.repeat(np.arange(len(n)), n)
+        by_length = {}
+        for k in np.unique(np.minimum(n[n > 0], window)).tolist():
+            # Whole windows of the long rows, or the short rows of just this many words.
+            first = np.flatnonzero(kernels.whole(w.first, len(w), k) & ((n[row] >= window) if k == window else (n[row] == k))[: max(0, len(w) - k + 1)])
+            last = first + k - 1
+            by_length[k] = kernels.gram_hashes(w.hashes, k)[first], at[first].astype(np.int32), (at[last] + size[last]).astype(np.int32), row[first].astype(np.int32)
+        return Grams(items, text, by_length)
+
+    @staticmethod
+    def joined(parts: list[Grams]) -> Grams:
+        texts = np.cumsum([0, *[len(p.text) for p in parts]])
+        rows = np.cumsum([0, *[len(p.items) for p in parts]])
+        by_length = {}
+        for k in sorted({k for p in parts for k in p.by_length}):
+            have = [(p.by_length[k], t, r) for p, t, r in zip(parts, texts, rows, strict=False) if k in p.by_length]
+            h, start, end, row = (np.concatenate(x) for x in zip(*[(h, s + t, e + t, o + r) for (h, s, e, o), t, r in have], strict=True))
+            order = np.argsort(h, kind="stable")
+            by_length[k] = h[order], start[order], end[order], row[order]
+        return Grams([x for p in parts for x in p.items], np.concatenate([p.text for p in parts]), by_length)
+
+    def owners(self, k: int, low: int, high: int, spelt: bytes) -> list[str | None]:
+        """The items of the n-grams low to high (all of one hash) that are spelt so."""
+        _, start, end, row = self.by_length[k]
+        return [self.items[row[j]] for j in range(low, high) if self.text[start[j] : end[j]].tobytes() == spelt]
+
+
+def _packed(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(0).to_pylist()
+            data, offsets = kernels.flat(batch.column(1))
+            for a, b in kernels.slices(offsets, PIECE):
+                grams = Grams.of(items[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window)
+                if grams.by_length:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(grams, protocol=5)], pa.binary())], names=["packed"])
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """The benchmark's n-grams, in blocks."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    size = F.length("text") + 16
-    total = items.agg(F.sum(size), F.max(size)).first()
-    n = max(1, -(-(total[0] or 0) // block_chars))
-    while n > 1:
-        block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-        largest = items.groupBy(block.alias("b")).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] or 0
-        if largest <= max(2 * block_chars, total[1]) or n > 16 * (total[0] // block_chars + 1):
-            break
-        n *= 2
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield _Grams([(r[0], r[1]) for r in part.toLocalIterator()], window)
-
-
-def _scan(grams: _Grams, text_col: str, spans_in: bool):
-    """A mapInArrow function that adds the findings of one block to what the row carries."""
+    packed = checkpoint(items.mapInArrow(_packed(window), "packed binary"))
+
+    def block(rows: list[Row]) -> tuple[Grams, int]:
+        grams = Grams.joined([pickle.loads(r["packed"]) for r in rows])
+        return grams, grams.n_bytes
+
+    return Blocks(benchmark.sparkSession, map(block, gathered(packed, "packed", block_bytes)))
+
+
+def _scan(blocks: Blocks, text_col: str, window: int):
+    """A mapInArrow function that adds what is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = grams.value
-        probes = []
-        for k, sorted_hashes in g.by_length.items():
-            door = np.zeros(1 << 16, bool)
-            door[(sorted_hashes >> np.uint64(48)).astype(np.int64)] = True
-            probes.append((k, sorted_hashes, door))
         for batch in batches:
             names = batch.schema.names
             col = batch.column(names.index(text_col))
             data, offsets = kernels.flat(col)
             n_words = np.zeros(len(col), np.int64)
             hits: list[list[tuple[int, int]]] = [[] for _ in range(len(col))]
-            items: list[set[str]] = [set() for _ in range(len(col))]
+            items, whole = ([set() for _ in range(len(col))] for _ in range(2))
+            slices = []
             for a, b in kernels.slices(offsets):
-                low = kernels.LOWER[data[offsets[a] : offsets[b]]]
-                w = kernels.Words(low, offsets[a : b + 1] - offsets[a], kernels.ALNUM_WORDS)
+                w = kernels.Words(kernels.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], kernels.ALNUM_WORDS)
                 n_words[a:b] = np.diff(w.first)
-                for k, sorted_hashes, door in probes:
-                    h = kernels.gram_hashes(w.hashes, k)
-                    at = np.flatnonzero(door[(h >> np.uint64(48)).astype(np.int64)])
-                    if not len(at):
-                        continue
-                    pos = np.minimum(np.searchsorted(sorted_hashes, h[at]), len(sorted_hashes) - 1)
-                    at = at[sorted_hashes[pos] == h[at]]
-                    doc = np.searchsorted(w.first, at, side="right") - 1
-                    keep = at + k <= w.first[doc + 1]
-                    for i, d in zip(at[keep].tolist(), doc[keep].tolist(), strict=True):
-                        spelt = b" ".join(low[s:e].tobytes() for s, e in zip(w.starts[i : i + k].tolist(), w.ends[i : i + k].tolist(), strict=True))
-                        owners = g.items.get(spelt)
-                        if owners:
-                            first = int(w.first[d])
-                            hits[a + d].append((i - first, i - first + k))
-                            items[a + d].update(x for x in owners if x is not None)
-            if spans_in:
-                for d, (old, had) in enumerate(zip(batch.column(names.index("_runs")).to_pylist(), batch.column(names.index("items")).to_pylist(), strict=True)):
-                    hits[d] += [(x["a"], x["b"]) for x in old]
-                    items[d].update(had)
+                slices.append((a, w, w.hashes))
+            for grams in blocks:
+                for k, (known, *_) in grams.by_length.items():
+                    door = np.zeros(1 << 16, bool)
+                    door[(known >> np.uint64(48)).astype(np.int64)] = True
+                    for a, w, hashes in slices:
+                        h = kernels.gram_hashes(hashes, k)
+                        at = np.flatnonzero(door[(h >> np.uint64(48)).astype(np.int64)])
+                        low = np.searchsorted(known, h[at])
+                        hit = known[np.minimum(low, len(known) - 1)] == h[at]
+                        at, low = at[hit], low[hit]
+                        doc = np.searchsorted(w.first, at, side="right") - 1
+                        inside = at + k <= w.first[doc + 1]
+                        at, low, doc = at[inside], low[inside], doc[inside]
+                        high = np.searchsorted(known, h[at], side="right")
+                        spelled: dict[tuple[int, bytes], list[str | None]] = {}
+                        for i, d, x, y in zip(at.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
+                            spelt = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[i : i + k].tolist(), w.ends[i : i + k].tolist(), strict=True))
+                            owners = spelled.get((x, spelt))
+                            if owners is None:
+                                owners = spelled[x, spelt] = grams.owners(k, x, y, spelt)
+                            if owners:
+                                first = int(w.first[d])
+                                hits[a + d].append((i - first, i - first + k))
+                                items[a + d].update(o for o in owners if o is not None)
+                                if k == window:
+                                    whole[a + d].update(owners)
             runs = [_merge(x) for x in hits]
             added = {
                 "n_words": pa.array(n_words),
                 "n_hit": pa.array([sum(y - x for x, y in r) for r in runs], pa.int64()),
+                "n_whole": pa.array([len(x) for x in whole], pa.int64()),
                 "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                "_runs": pa.array([[{"a": x, "b": y} for x, y in r] for r in runs], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                "spans": pa.array([_spans(data[offsets[d] : offsets[d + 1]], r) if r else [] for d, r in enumerate(runs)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                "spans": pa.array([_spans(data[offsets[d] : offsets[d + 1]], r) if r else [] for d, r in enumerate(runs)], SPAN),
             }
-            kept = [n for n in names if n not in added]
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(n)) for n in kept], *added.values()], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*names, *added])
 
     return run
 
@@ -145,18 +183,14 @@ def _spans(data: np.ndarray, runs: list[tuple[int, int]]) -> list[dict[str, int]
     return [{"start": int(points[w.starts[a]]), "end": int(points[w.ends[b - 1]])} for a, b in runs]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with n_words, n_hit, items (ids as strings, sorted) and spans (code points, end exclusive)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with n_words, n_hit, n_whole (items of which a whole window occurs), items (ids as strings, sorted) and spans (code points, end exclusive)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    out = without(docs, [*ADDED, "_runs"])
-    kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "_runs": T.ArrayType(T.StructType().add("a", "long").add("b", "long")), "spans": T.ArrayType(T.StructType().add("start", "long").add("end", "long"))}
-    for k, grams in enumerate(_benchmark_blocks(benchmark, item_col, item_text_col, window, block_chars)):
-        if k:
-            out = checkpoint(out)
-        schema = T.StructType([f for f in out.schema.fields if f.name not in kinds] + [T.StructField(n, t) for n, t in kinds.items()])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(grams), text_col, k > 0), schema)
-    return out.drop("_runs")
+    out = without(docs, ADDED)
+    kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_whole": T.LongType(), "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(T.StructType().add("start", "long").add("end", "long"))}
+    schema = T.StructType(out.schema.fields + [T.StructField(n, t) for n, t in kinds.items()])
+    return out.mapInArrow(_scan(benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes), text_col, window), schema)
 
 
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,8 +205,12 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def remove_documents(found: DataFrame, min_items: int = 1) -> DataFrame:
-    """Only documents that hold n-grams of fewer than min_items benchmark items."""
-    return found.where(F.size("items") < min_items).drop(*ADDED)
+    """Only documents that hold whole windows of fewer than min_items items.
+
+    An item shorter than a window may be a common phrase: it counts only where hits are half of the document's words.
+    """
+    leaked = (F.col("n_whole") >= min_items) | ((F.size("items") >= min_items) & (2 * F.col("n_hit") >= F.col("n_words")) & (F.col("n_hit") > 0))
+    return found.where(~leaked).drop(*ADDED)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

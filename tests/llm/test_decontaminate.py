@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from searchkit.llm import decontaminate as d
@@ -40,10 +41,10 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block_chars", [8_000_000, 40])
-def test_against_brute_force(spark, block_chars):
+@pytest.mark.parametrize("block_bytes", [32 << 20, 40])
+def test_against_brute_force(spark, block_bytes):
     docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(TEXTS)], "doc_id long, text string, items string").repartition(3)
-    found = d.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_chars=block_chars)
+    found = d.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=block_bytes)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in found.collect()}
     assert got == dict(enumerate(brute(TEXTS, ITEMS)))
 
@@ -55,6 +56,25 @@ def test_spans_are_removed(spark):
     assert [r["doc_id"] for r in d.remove_documents(found).collect()] == [2]
 
 
+def test_short_items_remove_only_what_they_fill(spark):
+    docs = spark.createDataFrame([(1, "they said one two and went on to other things"), (2, "One, two!"), (3, "x y one two three four five six seven eight " + "z " * 90), (4, None)], "doc_id long, text string")
+    found = d.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in d.remove_documents(found).collect()) == [1, 4]
+
+
+def test_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = d.find_contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_equal_hashes_are_told_apart_by_words():
+    a = d.Grams.of(["x", "y"], np.frombuffer(b"one two onetwo", np.uint8), np.array([0, 7, 14]), 8)
+    assert a.by_length[2][0].tolist() and a.owners(2, 0, 1, b"one two") == ["x"] and a.owners(2, 0, 1, b"one  two") == []
+    both = d.Grams.joined([a, d.Grams.of(["z", None], np.frombuffer(b"one twoone two", np.uint8), np.array([0, 7, 14]), 8)])
+    assert both.owners(2, 0, 3, b"one two") == ["x", "z", None] and both.owners(1, 0, 1, b"onetwo") == ["y"]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
