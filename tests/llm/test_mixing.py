@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from searchkit.llm import mixing as m
 
@@ -34,7 +35,10 @@ def test_targets_and_takings(spark, quality):
     docs = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, source string, taken int").repartition(4)
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300, 3)] * 2 + [(9, None)], "doc_id long, quality int") if quality else None
     rows = m.mix(docs, labels).collect()
-    again = m.mix(docs.repartition(2), labels).collect()
+    again = m.mix(docs.repartition(2), labels, block_bytes=50).collect()
+    narrow = m.allocate(docs, labels).collect()
+    digest = lambda r: (r["doc_id"] or -1, r["size"], r["source_size"], r["target"], r["taken"])
+    assert sorted(map(digest, rows)) == sorted(map(digest, narrow))
     key = lambda r: (r["doc_id"] or -1, r["text"] or "", str(r["source"]), r["taken"])
     assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) == len(ROWS)
     sizes, taken = {}, {}
@@ -58,6 +62,20 @@ def test_better_documents_are_taken_first(spark):
     assert extra[1] > 1.5 * extra[0] > 0
 
 
+def test_no_text_is_shuffled(spark):
+    docs = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, source string, other int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    plan = m.mix(docs, labels, block_bytes=50)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+
+
+def test_cells_are_even_at_any_weight(spark):
+    for w in (0.5, 0.7, 1.0, 2.0):
+        keyed = spark.range(200_000).select((-F.log((F.col("id") + 0.5) / 200_000) / w).alias("_k"))
+        most = m._small(keyed).groupBy("b1").count().agg(F.max("count")).first()[0]
+        assert most < 4 * 200_000 / m.BUCKETS
+
+
 def test_empty(spark):
     assert m.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
