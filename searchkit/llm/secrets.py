@@ -4,7 +4,12 @@ Every historical version of a text is content-addressed by its SHA-256. The ledg
 holds, for each blob and rule version, what was found; a scan takes the distinct
 blobs that the ledger lacks under the present rules (an anti-join), applies the
 rules to those alone, appends the findings, and joins findings back to all paths
-that hold the blob.
+that hold the blob. The ledger is a Parquet table bucketed by blob, so joining it moves no
+part of its history. `op6_secrets` and the pipeline keep a ledger of their own for
+a run, in the shared folder, and feed it the documents in two appends (APPENDS).
+
+Texts move once: a partial aggregate keeps one text of each blob in every task, and
+what is left of these goes to the task that judges its blob, seen or not.
 
 Match positions without user functions: `split` gives the text between matches and
 `regexp_extract_all` the matches; running lengths of the two are the spans.
@@ -14,7 +19,8 @@ prefixed service tokens. Of a private key RULES, and so `op6_secrets` and its SQ
 the header line; `redact` replaces the whole key (WHOLE_KEYS). A match is leftmost and doesn't overlap others of
 its kind; one that fails its kind's length is dropped after it was matched.
 
-Defined cases: a null text is an empty one; repeated rows are paths of one blob;
+Defined cases: a null text is an empty one; very long texts are scanned whole; repeated
+rows are paths of one blob; spans that begin together are in the order of the rules;
 an empty table gives an empty result and adds nothing to the ledger; columns of
 the names that the operator adds are replaced.
 """
@@ -22,12 +28,14 @@ the names that the operator adds are replaced.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchkit.llm.common import checkpoint, let, table, text_or_empty, without
+from searchkit.session import shared_folder
 
 
 def _either(word: str) -> str:
@@ -100,35 +108,49 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", F.lit(rule_version(rules)).alias("rule_version"), spans.alias("secret_spans"))
 
 
-class Ledger:
-    """Findings by blob and rule version: a Parquet table in a folder that all executors share, or none (nothing seen)."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path
+#: Buckets of the ledger, and appends in which one table of documents is fed to it.
+BUCKETS, APPENDS = 64, 2
 
-    def seen(self, version: str) -> DataFrame | None:
-        if self.path is None:
-            return None
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return self.spark.read.parquet(self.path).where(F.col("rule_version") == version)
 
-    def findings(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(blob, secret_spans) for every blob of docs; blobs that the ledger lacked have been scanned and appended."""
+class Ledger:
+    """Findings by blob and rule version: a Parquet table bucketed by blob, in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        """path: None for a new ledger in the session's shared folder; else a ledger, which is made if it isn't there."""
+        self.spark = spark
+        self.path = path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+        self.buckets = buckets
+        self.table = "ledger_" + hashlib.md5(self.path.encode()).hexdigest()
+        kinds = f"blob STRING, rule_version STRING, secret_spans {SPANS}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({kinds}) USING parquet CLUSTERED BY (blob) SORTED BY (blob) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+
+    def seen(self, version: str) -> DataFrame:
+        """(blob, secret_spans) of what has been scanned under these rules."""
+        return self.spark.table(self.table).where(F.col("rule_version") == version).select("blob", "secret_spans")
+
+    def append(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> int:
+        """Scan the blobs of docs that the ledger lacks under these rules, and add them; how many they are."""
         version = rule_version(rules)
         rows = docs.select(blob_id(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
-        seen = self.seen(version)
-        if seen is not None:
-            seen = checkpoint(seen)
-            rows = rows.join(seen.select("blob"), "blob", "left_anti")
-        # A partial aggregate keeps one text of each blob in every task before anything is shuffled.
-        unseen = rows.groupBy("blob").agg(F.first("text").alias("text"))
-        new = checkpoint(scan(unseen, rules))
-        if self.path is not None:
-            new.write.mode("append").parquet(self.path)
-        every = new if seen is None else new.unionByName(seen.select(*new.columns)).dropDuplicates(["blob"])
-        return every.select("blob", "secret_spans")
+        each = rows.groupBy("blob").agg(F.first("text").alias("text"))
+        new = checkpoint(scan(each.join(self.seen(version).select("blob"), "blob", "left_anti"), rules))
+        n = new.count()
+        if n:
+            new.repartition(self.buckets, "blob").sortWithinPartitions("blob").write.format("parquet").bucketBy(self.buckets, "blob").sortBy("blob").mode("append").saveAsTable(self.table)
+        return n
+
+    def findings(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, appends: int = 1) -> DataFrame:
+        """(blob, secret_spans) of all that the ledger has under these rules, once docs are in it; they are added in so many parts."""
+        part = F.pmod(F.xxhash64(*[c for c in docs.columns if c != text_col], F.length(text_col)), F.lit(appends))
+        for k in range(appends):
+            self.append(docs.where(part == k) if appends > 1 else docs, text_col, rules)
+        return self.seen(rule_version(rules))
+
+    def drop(self) -> None:
+        """Remove the ledger with its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def blob_id(text_col: str = "text") -> Column:
@@ -142,12 +164,13 @@ def _digest(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (without text_col) with secret_spans and the counts and digests of the base rules.
 
-    Only hashes and findings meet in the join; what it joins is checkpointed, so
+    Only hashes and findings meet in the join; what it joins is written, so
     that adaptive execution can split a blob with very many paths.
     """
     ledger = ledger or Ledger(docs.sparkSession)
-    paths = checkpoint(without(docs, [*ADDED, "blob"]).withColumn("blob", blob_id(text_col)).drop(text_col))
-    found = checkpoint(ledger.findings(docs, text_col, rules))
+    docs = without(docs, [*ADDED, "blob"])
+    found = ledger.findings(docs, text_col, rules, APPENDS)
+    paths = checkpoint(docs.withColumn("blob", blob_id(text_col)).drop(text_col))
     base = F.filter("secret_spans", lambda s: s["kind"].isin([r.kind for r in rules if r.base]))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     return paths.join(found, "blob").withColumns({
@@ -157,10 +180,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", ledger: Ledger | None
 
 
 def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = WHOLE_KEYS, few_bytes: int = 64 << 20) -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets (overlapping spans as one, by the first's kind)."""
-    found = checkpoint((ledger or Ledger(docs.sparkSession)).findings(docs, text_col, rules).where(F.size("secret_spans") > 0).select(F.col("blob").alias("_blob"), F.col("secret_spans").alias("_spans")))
-    size = found.agg(F.sum(F.lit(150) + 40 * F.size("_spans"))).first()[0] or 0
+    """docs with every span replaced by its kind in angle brackets (overlapping spans as one, by the first's kind).
+
+    Blobs with a finding are broadcast if a count of their bytes shows them to be few; beyond, texts meet them in a shuffle.
+    """
     docs = without(docs, ["_blob", "_spans"])
+    found = (ledger or Ledger(docs.sparkSession)).findings(docs, text_col, rules, APPENDS)
+    found = checkpoint(found.where(F.size("secret_spans") > 0).select(F.col("blob").alias("_blob"), F.col("secret_spans").alias("_spans")))
+    size = found.agg(F.sum(F.lit(150) + 40 * F.size("_spans"))).first()[0] or 0
     joined = docs.withColumn("_blob", blob_id(text_col)).join(F.broadcast(found) if size <= few_bytes else found, "_blob", "left")
     text = F.col(text_col)
     cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))

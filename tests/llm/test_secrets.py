@@ -40,16 +40,34 @@ def test_base_spans_against_brute_force(spark):
 
 
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
-    ledger = s.Ledger(spark, str(tmp_path / "ledger"))
+    ledger = s.Ledger(spark, str(tmp_path / "ledger"), 4)
     docs = spark.createDataFrame(list(enumerate(TEXTS)) + [(99, TEXTS[3])], "doc_id long, text string")
-    first = {r["doc_id"]: r["spans"] for r in s.find_secrets(docs.where("doc_id < 6 or doc_id = 99"), ledger=ledger).collect()}
-    n = spark.read.parquet(ledger.path).count()
-    assert n == 5  # null and the empty text are one blob, and 99 is a path of 3's
+    some = docs.where("doc_id < 6 or doc_id = 99")
+    first = {r["doc_id"]: r["spans"] for r in s.find_secrets(some, ledger=ledger).collect()}
+    assert spark.read.parquet(ledger.path).count() == 5  # null and the empty text are one blob, and 99 is a path of 3's
+    assert ledger.append(some) == 0 and ledger.append(docs) == len({t or "" for t in TEXTS}) - 5
     every = {r["doc_id"]: r["spans"] for r in s.find_secrets(docs, ledger=ledger).collect()}
     assert spark.read.parquet(ledger.path).count() == len({t or "" for t in TEXTS})
     assert all(every[k] == v for k, v in first.items()) and every == {r["doc_id"]: r["spans"] for r in s.find_secrets(docs).collect()}
     s.find_secrets(docs, ledger=ledger, rules=s.RULES[:2]).count()  # another rule version scans again
     assert spark.read.parquet(ledger.path).count() == 2 * len({t or "" for t in TEXTS})
+    spark.sql(f"DROP TABLE {ledger.table}")  # as in another session: the folder is the ledger
+    assert s.Ledger(spark, ledger.path, 4).append(docs) == 0
+    s.Ledger(spark, ledger.path, 4).drop()
+    assert not (tmp_path / "ledger").exists()
+
+
+def test_the_query_scans_each_blob_once(spark, monkeypatch):
+    made = []
+    append = s.Ledger.append
+    monkeypatch.setattr(s.Ledger, "append", lambda self, *a: made.append((self, append(self, *a))) or made[-1][1])
+    n = s.op6_secrets(spark, "/root/testdata/sf0.001").count()
+    texts = {r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(made) == s.APPENDS and all(x[1] > 0 for x in made) and sum(x[1] for x in made) == len(texts) <= n
+    ledger = made[0][0]
+    assert ledger.append(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")) == 0
+    plan = ledger.seen("x").join(spark.range(9).selectExpr("sha2(cast(id as string), 256) as blob"), "blob")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan or "Bucketed: false (disabled by query planner)" in plan or f"{ledger.buckets} out of {ledger.buckets}" in plan
 
 
 def test_redaction(spark):
