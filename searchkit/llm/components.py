@@ -1,14 +1,44 @@
-"""Connected components of a graph that is too large for one machine."""
+"""Connected components of a graph that may be too large for one machine.
+
+Defined cases: loops and repeated edges change nothing; a graph without edges has no
+nodes; of a component the smallest node is the root.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchkit.llm.common import checkpoint
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+#: Edges up to which one task settles them, which saves rounds of small jobs.
+FEW = 10_000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = [np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in batches]
+    nodes, ends = np.unique(np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while True:
+        low = label[ends].min(axis=1)
+        new = label.copy()
+        for side in (0, 1):
+            np.minimum.at(new, ends[:, side], low)
+            np.minimum.at(new, label[ends[:, side]], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "root"])
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node it reaches.
 
     Alternating large-star and small-star steps: each replaces a node's links by
@@ -19,6 +49,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     shuffles on both sides, which adaptive execution splits where they are skewed.
     """
     now = checkpoint(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
+    if now.count() <= few:
+        return now.coalesce(1).mapInArrow(_settle, "node long, root long")
     before = None
     for _ in range(max_rounds):
         # Large star: larger neighbours move to the smallest of the node and its neighbours.

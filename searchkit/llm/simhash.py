@@ -14,14 +14,17 @@ Two fingerprints link at `distance` or fewer differing bits. To find links:
    t_i bits to ignore). Buckets are read sorted, as runs; inside one, candidates
    are verified by their differing bits and only a spanning forest of the links
    is emitted, never all pairs. In a long run, found members leave the search,
-   so a dense group costs about one comparison a member.
+   so a dense group costs about one comparison a member. Keys of more than LONG
+   fingerprints, by a count of all keys, are split: the bits that such a key doesn't fix
+   are cut into distance + 1 pieces, of which a linked pair shares one whole, and a
+   fingerprint is dealt to a bucket for each piece instead.
 5. The links' components are found by distributed large-star/small-star steps.
 
 The parts are made fewer and wider as fingerprints grow in number, so a bucket
 holds few unrelated fingerprints at any size.
 
-Defined cases: a text without words has fingerprint zero, linked like any other;
-a null doc_id has a fingerprint and takes part in links, and component_id is the
+Defined cases: a text without words (null, empty) has fingerprint zero, linked like any
+other; a bit that half the hashes have is 0; a very long text is hashed whole, in slices; a null doc_id has a fingerprint and takes part in links, and component_id is the
 smallest id that isn't null; repeated rows are linked to each other; columns of
 the names that the operator adds are replaced.
 """
@@ -46,6 +49,8 @@ from searchkit.llm.components import components
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Runs up to this long are compared all to all at once; longer ones member by member.
 SHORT_RUN = 48
+#: Fingerprints of a key beyond which it is split.
+LONG = 4_000
 _U = np.uint64
 
 
@@ -208,6 +213,33 @@ def _deal(parts: list[list[int]], thresholds: list[int]):
     return run
 
 
+def _pieces(bits: list[int], mask: int, distance: int) -> list[list[int]]:
+    """The bits that a key of a part doesn't fix, in distance + 1 pieces."""
+    fixed = {b for j, b in enumerate(bits) if not mask >> j & 1}
+    free = [b for b in range(64) if b not in fixed]
+    return [free[k :: distance + 1] for k in range(distance + 1)]
+
+
+def _split(parts: list[list[int]], thresholds: list[int], distance: int):
+    """Of (key, fp, long): (key, fp), a long key's fingerprints by key and piece."""
+    pieces = {(i << 20) | k: _pieces(bits, mask, distance) for i, (bits, t) in enumerate(zip(parts, thresholds, strict=True)) if t >= 0 for k, mask in enumerate(_masks(bits, t))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.compute.invert(batch.column(2))).select([0, 1])
+            rows = batch.filter(batch.column(2))
+            key, fp = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            bucket = key >> 36
+            for of in np.unique(bucket).tolist():
+                own = bucket == of
+                for j, bits in enumerate(pieces[of]):
+                    value = part_values(fp[own].view(np.uint64), bits).astype(np.uint64)
+                    mixed = kernels._mix(key[own].view(np.uint64) * _U(0x9E3779B97F4A7C15) + (value << _U(4)) + _U(j + 1)) | _U(1 << 63)  # no other key is negative
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(fp[own])], names=["key", "fp"])
+
+    return run
+
+
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= distance
 
@@ -298,7 +330,7 @@ def _links(distance: int):
     return run
 
 
-def link(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+def link(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None, long: int = LONG) -> DataFrame:
     """(node, root) for the distinct fingerprints (column fp) that have a link; root is the smallest of the component."""
     n = distinct.count()
     parts = parts or (4 if n <= 1 << 24 else 3 if n <= 1 << 31 else 2)
@@ -308,6 +340,10 @@ def link(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None
     groups = group_bits(pairs, parts)
     thresholds = allocate(_costs(distinct, groups, distance, n), distance)
     dealt = distinct.mapInArrow(_deal(groups, thresholds), "key long, fp long")
+    hot = checkpoint(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long).select("key", F.lit(True).alias("long")))
+    if hot.limit(1).count():
+        dealt = checkpoint(dealt).join(hot, "key", "left").select("key", "fp", F.coalesce("long", F.lit(False)).alias("long"))
+        dealt = dealt.mapInArrow(_split(groups, thresholds, distance), "key long, fp long")
     shuffled = dealt.repartition("key").sortWithinPartitions("key", "fp")
     return components(shuffled.mapInArrow(_links(distance), "u long, v long"))
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -59,8 +60,8 @@ def test_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("parts", [2, 3, 4, 5])
-@pytest.mark.parametrize("short", [48, 2])
-def test_links_of_random_fingerprints(spark, monkeypatch, parts, short):
+@pytest.mark.parametrize("short, long", [(48, s.LONG), (2, s.LONG), (48, 3)])
+def test_links_of_random_fingerprints(spark, monkeypatch, parts, short, long):
     monkeypatch.setattr(s, "SHORT_RUN", short)
     rng = random.Random(parts)
     values = set()
@@ -72,11 +73,26 @@ def test_links_of_random_fingerprints(spark, monkeypatch, parts, short):
                 x ^= 1 << rng.randrange(64)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    linked = {r["node"]: r["root"] for r in s.link(spark.createDataFrame([(v,) for v in signed], "fp long"), parts=parts).collect()}
+    linked = {r["node"]: r["root"] for r in s.link(spark.createDataFrame([(v,) for v in signed], "fp long"), parts=parts, long=long).collect()}
     want = roots(values, signed)
     assert [linked.get(v, v) for v in signed] == want
 
 
+def test_a_hundred_thousand_fingerprints_of_one_bucket(spark):
+    # They agree in 20 bits, so that each of the first parts is one key, and are linked only as planted.
+    rng = np.random.default_rng(9)
+    low = np.unique(rng.integers(0, 1 << 44, 100_000, np.uint64))
+    near = low[:50] ^ np.uint64(0b1011)
+    values = np.unique(np.append(low, near)).view(np.int64)
+    frame = spark.createDataFrame(pd.DataFrame({"fp": values})).repartition(4)
+    linked = {r["node"]: r["root"] for r in s.link(frame).collect()}
+    want = {int(x) for pair in zip(low[:50], near) for x in pair}
+    assert want <= set(linked)
+    for node, root in linked.items():
+        assert node == root or (node ^ root).bit_count() <= 8
+    assert len(linked) < 300  # random ones are hardly ever linked
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "q w e r t y u i"), (None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in s.keep_one(docs).collect() if r["text"]) == [(3, "a b c d e f"), (9, "q w e r t y u i")]
@@ -89,7 +105,9 @@ def test_thresholds_cover_the_distance():
     assert sorted(b for g in s.group_bits(pairs, 3) for b in g) == list(range(64))
 
 
-def test_components_of_a_path_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
-    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_components_of_a_path_and_a_star(spark, few):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(3, 2), (7, 7)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
+    assert components(spark.createDataFrame(edges[:0], "u long, v long"), few=few).count() == 0
