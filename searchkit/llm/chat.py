@@ -6,14 +6,16 @@ running sums of two hashes of (position, role, text), so prefixes are compared b
 (length, sums) alone. A conversation whose whole hash is a proper prefix of another
 is dropped by an anti-join; of equal conversations the smallest id stays.
 
-A conversation may hold any share of all rows, so no step takes one whole: positions
-and running sums are made in blocks of BLOCK turn numbers, with the sums of earlier
-blocks carried over, and rendering gives one row for each PART turns (joined in order,
-a conversation's parts are its text).
+A conversation may hold any share of all rows, and so may one turn number or the lack
+of one, so no step takes these whole: rows are dealt to ranges of the order of turns, and
+numbered in each range after a count of the ranges before; running sums are made in blocks of
+BLOCK positions, with the sums of earlier blocks carried over, and rendering gives one
+row for each PART turns (joined in order, a conversation's parts are its text).
 
 DataFrame functions only. Defined cases: turns are ordered by turn (nulls last), role
 and text; equal rows of a conversation are one turn; a null role or text is an empty
-one; a null conv_id is a conversation like any other; an empty table gives an empty
+one; a null conv_id is a conversation like any other; very long texts are hashed and rendered
+whole; of conversations that tie, being equal, the smallest id stays; an empty table gives an empty
 result; columns other than those named are ignored.
 """
 
@@ -42,15 +44,16 @@ def prefixes(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).distinct()
-    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("last", F.col("turn").isNull())
-    inside = Window.partitionBy("conv", "last", "block").orderBy("turn", "role", "text")
-    blocks = Window.partitionBy("conv").orderBy("last", "block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = checkpoint(rows.withColumn("_in", F.row_number().over(inside)))
-    key = [F.col("conv").eqNullSafe(F.col("_conv")), F.col("last") == F.col("_last"), F.col("block").eqNullSafe(F.col("_block"))]
-    before = rows.groupBy("conv", "last", "block").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(blocks), F.lit(0)))
-    before = checkpoint(before.select(F.col("conv").alias("_conv"), F.col("last").alias("_last"), F.col("block").alias("_block"), "_before"))
-    placed = rows.join(before, key).withColumn("pos", F.col("_in") + F.col("_before")).drop("_conv", "_last", "_block", "_before", "_in")
+    ).distinct().withColumn("last", F.col("turn").isNull())
+    order = ["last", "turn", "role", "text"]
+    rows = checkpoint(rows)
+    rows = checkpoint(rows.repartitionByRange("conv", *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("conv", "_range").orderBy(*order)
+    earlier = Window.partitionBy("conv").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("conv", "_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    before = checkpoint(before.select(F.col("conv").alias("_conv"), F.col("_range").alias("_of"), "_before"))
+    key = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of"))
+    placed = rows.withColumn("_in", F.row_number().over(inside)).join(before, key).withColumn("pos", F.col("_in") + F.col("_before")).drop("_conv", "_of", "_range", "_before", "_in", "last", "turn")
     sums = _halves("a", F.xxhash64("pos", "role", "text")) | _halves("b", F.xxhash64(F.lit("b"), "text", "pos", "role"))
     placed = placed.withColumns(sums).withColumn("part", F.floor((F.col("pos") - 1) / BLOCK))
     placed = checkpoint(placed)
@@ -69,7 +72,9 @@ def maximal(prefixed: DataFrame) -> DataFrame:
     ends = checkpoint(ends)
     distinct = checkpoint(ends.groupBy("p").agg(F.min(F.struct(F.col("conv").isNull().alias("null"), F.col("conv").alias("conv"))).alias("c")))
     sizes = ends.select(F.col("conv").alias("_conv"), "n")
-    inner = prefixed.join(sizes, F.col("conv").eqNullSafe(F.col("_conv"))).where("pos < n").select("p").distinct()
+    # Only prefixes as long as some conversation can be one.
+    lengths = checkpoint(ends.select(F.col("n").alias("_n")).distinct())
+    inner = prefixed.join(lengths, F.col("pos") == F.col("_n"), "left_semi").join(sizes, F.col("conv").eqNullSafe(F.col("_conv"))).where("pos < n").select("p").distinct()
     kept = distinct.join(checkpoint(inner), "p", "left_anti")
     return kept.select("c.conv", F.col("p.pos").alias("n_turns"))
 

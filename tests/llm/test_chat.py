@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from searchkit.llm import chat
 
@@ -43,6 +44,16 @@ def test_against_brute_force(spark, part):
     assert got == brute(rows, part)
 
 
+def test_many_turns_without_a_number(spark):
+    rows = [(1, None, "user", f"t{i:06d}" + "x" * (i % 7)) for i in range(30_000)] + [(2, 7, "user", f"t{i:06d}" + "x" * (i % 7)) for i in range(5_000)] + [(3, 0, "user", "word " * 100_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r["conv_id"], r["part"], r["n_turns"], r["rendered"]) for r in chat.collapse_and_render(turns).collect()}
+    assert got == brute(rows, 64)
+    # No window takes such a conversation whole: ranges are of rows, not of turn numbers.
+    ranges = turns.select("*").repartitionByRange(8, "conv_id", "turn", "role", "text").withColumn("p", F.spark_partition_id()).groupBy("conv_id", "p").count()
+    assert ranges.agg(F.max("count")).first()[0] < 12_000
+
+
 def test_empty_and_plan(spark):
     assert chat.collapse_and_render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     plan = chat.op7_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
