@@ -37,11 +37,8 @@ def path_and_query(uri: str | Column) -> Column:
 
 def ipv4(address: str | Column) -> Column:
     """A dotted IPv4 address as a number; null for anything else."""
-    a = col(address)
-    p = F.split(a, r"\.")
-    octet = lambda i: F.get(p, F.lit(i)).cast("long")
-    number = octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
-    return F.when(a.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), number)
+    octets = F.split(F.when(col(address).rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), col(address)), r"\.")
+    return F.aggregate(octets, F.lit(0).cast("long"), lambda n, octet: n * 256 + octet.cast("long"))
 
 
 def seconds_until(now: str | Column, time_of_day: str, day_of_week: int | None = None) -> Column:

@@ -14,10 +14,17 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_P = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
+#: A word from its first to its last character that isn't punctuation, if it has two of these or more.
+_TOKEN = rf"(?U)(?<!\S){_P}*+(\S(?:\S*(?!{_P})\S))"
+
+
 def tokens(value: str | Column) -> Column:
-    """Lower-cased tokens: split on Unicode whitespace, ASCII punctuation off both ends, longer than one character."""
-    parts = F.transform(F.split(col(value), r"(?U)\s+"), lambda t: F.lower(F.btrim(t, F.lit(PUNCTUATION))))
-    return F.filter(parts, lambda t: F.length(t) > 1)
+    """Lower-cased tokens: split on Unicode whitespace, ASCII punctuation off both ends, longer than one character.
+
+    One pattern, which compiles into the stage, finds them all.
+    """
+    return F.regexp_extract_all(F.lower(col(value)), F.lit(_TOKEN), F.lit(1))
 
 
 def phrase_of(text: str) -> list[str]:

@@ -123,9 +123,15 @@ def multilevel(frame: DataFrame, levels: Sequence[tuple[str, Column, int]], by_t
 def collapse(frame: DataFrame, key: str, order: Sequence[Column], id_col: str) -> DataFrame:
     """One record of each key (the first in order; ties by id) with duplicate_count, the records of its key.
 
-    The row number's limit is applied before the shuffle too, and counts are partial sums, so a key of
-    very many records is reduced to a row for each task before it moves.
+    Without an order it is one aggregate, which takes the record of the smallest id; rows are compared by a hash of
+    the key first. With one, the row number's limit is applied before the shuffle too, and counts are partial
+    sums. Either way a key of very many records is reduced to a row for each task before it moves.
     """
+    if not order:
+        rest = [c for c in frame.columns if c != key]
+        least = F.min_by(F.struct(*rest), F.struct(F.col(id_col).isNull(), id_col)).alias("_x")
+        one = frame.groupBy(F.xxhash64(key).alias("_hash"), key).agg(least, F.count("*").alias("duplicate_count"))
+        return one.select(*[F.col(key) if c == key else F.col(f"_x.{c}") for c in frame.columns], "duplicate_count")
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order, id_col))
     own = frame.withColumn("_first", first).where("_first <= 1").drop("_first")
     counts = frame.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("duplicate_count"))

@@ -123,16 +123,21 @@ def xpath_fields(rows: DataFrame, paths: Mapping[str, str], id_col: str = "ident
 
 
 def select_subtrees(rows: DataFrame, path: str, id_col: str = "identifier", xml_col: str = "xml") -> DataFrame:
-    """A row for each element that a path finds (ElementTree syntax, `{ns}` names), as XML without its tail."""
+    """A row for each element that a path finds (ElementTree syntax, `{ns}` names), as XML without its tail.
+
+    A record that doesn't parse has one row with its `error`, so it never ends a job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
+            out: list[tuple[str | None, str | None, str | None]] = []
             for identifier, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for element in ET.fromstring(xml).iterfind(path) if xml else ():
-                    element.tail = None
-                    ids.append(identifier)
-                    found.append(ET.tostring(element, encoding="unicode"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], names=["identifier", "xml"])
+                try:
+                    for element in ET.fromstring(xml).iterfind(path) if xml else ():
+                        element.tail = None
+                        out.append((identifier, ET.tostring(element, encoding="unicode"), None))
+                except ET.ParseError as e:
+                    out.append((identifier, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["identifier", "xml", "error"])
 
-    return rows.select(F.col(id_col).cast("string").alias("identifier"), F.col(xml_col).alias("xml")).mapInArrow(run, "identifier string, xml string")
+    return rows.select(F.col(id_col).cast("string").alias("identifier"), F.col(xml_col).alias("xml")).mapInArrow(run, "identifier string, xml string, error string")

@@ -53,10 +53,11 @@ def ip_allowed(client: Column, allowed: Sequence[str] = (), ranges: Sequence[str
     """Whether a client's address is allowed; a missing one is 0.0.0.0.
 
     The ranges are configuration, merged to a sorted list: the test is a projection, without a join.
+    The address becomes a number once, however many ranges there are.
     """
     own = merged_ranges(address_ranges(allowed, ranges))
-    n = ipv4(F.coalesce(client, F.lit("0.0.0.0")))
-    return functools.reduce(operator.or_, [n.between(lo, hi) for lo, hi in own], F.lit(False))
+    inside = lambda n: functools.reduce(operator.or_, [n.between(lo, hi) for lo, hi in own], F.lit(False))
+    return F.exists(F.array(ipv4(F.coalesce(client, F.lit("0.0.0.0")))), inside)
 
 
 def in_ranges(rows: DataFrame, number: str, ranges: DataFrame, lo: str = "lo", hi: str = "hi", width: int = 1 << 16) -> DataFrame:

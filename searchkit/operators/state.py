@@ -1,12 +1,17 @@
-"""Keyed state: values that expire, bounded maps, bijections, and cached results."""
+"""Keyed state: values that expire, bounded maps, bijections, sessions, and cached results."""
 
 from __future__ import annotations
 
+import ast
 import json
 import os
+import re
 import time
+import uuid
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from email.utils import formatdate
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -126,6 +131,71 @@ class SavedTimedDictionary(TimedDictionary):
         return value
 
 
+@dataclass(frozen=True)
+class Session:
+    """A visitor's session: its id, its value (kept by reference) and the header that sets its cookie."""
+
+    id: str
+    value: Any
+    header: str
+
+
+class SessionStore:
+    """Sessions behind cookies, in a map whose entries expire: each use puts the end off."""
+
+    def __init__(self, entries: TimedDictionary, name: str = "session", secure: bool = False, http_only: bool = True):
+        self.entries, self.name = entries, name
+        self.flags = [flag for flag, on in (("Secure", secure), ("HttpOnly", http_only)) if on]
+
+    def create(self, value: Any) -> Session:
+        key = str(uuid.uuid4())
+        self.entries[key] = value
+        return self._session(key)
+
+    def validate(self, key: str) -> Session | None:
+        """The session of an id that hasn't expired, touched; None for any other."""
+        if self.entries.get(key) is None:
+            return None
+        self.entries.touch(key)
+        return self._session(key)
+
+    def remove(self, key: str) -> None:
+        self.entries.entries.pop(key, None)
+
+    def remove_where(self, test: Callable[[Any], bool]) -> int:
+        """Remove the sessions whose value passes a test, expired ones too; how many."""
+        gone = [k for k in list(self.entries.entries) if test(self.entries.peek(k))]
+        for k in gone:
+            self.remove(k)
+        return len(gone)
+
+    def of_request(self, cookie_header: str | None) -> Session:
+        """The session that a request's Cookie header names first, or a new one with an empty dict."""
+        named = re.findall(rf"(?:^|;)\s*{re.escape(self.name)}=([^;]*)", cookie_header or "")
+        return (self.validate(named[0].strip()) if named else None) or self.create({})
+
+    def _session(self, key: str) -> Session:
+        end = formatdate(self.entries.clock() + self.entries.timeout, usegmt=True)
+        return Session(key, self.entries[key], "Set-Cookie: " + "; ".join([f"{self.name}={key}", "path=/", f"expires={end}", *self.flags]))
+
+
+def arguments_in_session(session: dict[str, list], arguments: Mapping[str, Sequence[str]]) -> None:
+    """Keep request arguments in a session: `+literal` adds to the list of its name what isn't in it, `-literal` takes
+    it out, and text without a sign is added as it is. A literal is a Python constant, never code; anything else is a ValueError."""
+    for name, values in arguments.items():
+        kept = session.setdefault(name, [])
+        for text in values:
+            try:
+                value = ast.literal_eval(text[1:].strip()) if text[:1] in ("+", "-") else text
+            except (SyntaxError, ValueError):
+                raise ValueError(f"{name}: {text!r} is no literal") from None
+            if text[:1] == "-":
+                if value in kept:
+                    kept.remove(value)
+            elif value not in kept:
+                kept.append(value)
+
+
 class ResultCache:
     """Results of queries by key for some time; on failure a stale one if allowed, and then a pause before the next try."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from searchkit.functions.text import tokens
@@ -15,6 +15,27 @@ def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+class Vocabulary:
+    """A vocabulary kept as a table sorted by term, so a request reads it, by a prefix only the row groups that may hold it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def refresh(self, docs: DataFrame, text_col: str) -> Vocabulary:
+        """Count the documents anew and replace the table."""
+        vocabulary(docs, text_col).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self.path)
+        return self
+
+    @property
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+
 def prefix_suggest(terms: DataFrame, prefix: str, limit: int = 10, minimum: int = 2) -> DataFrame:
     """Terms that begin with a prefix (lower-cased), the most frequent first; none for a prefix that is too short."""
     p = prefix.lower()

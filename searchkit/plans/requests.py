@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
-from urllib.parse import urlencode
+from urllib.parse import parse_qs, urlencode
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from searchkit.plans import cql
 from searchkit.plans.cql import CqlError, Query
@@ -321,3 +325,31 @@ def parse_rss(arguments: Arguments, anti_unary: str = "", sort_keys: str | None
             raise ValueError(f"Invalid sortKeys: {keys}")
         sort = [SortKey(parts[0], parts[2] == "1")]
     return web.tree, sort, int(arguments.get("maximumRecords", [maximum])[0])
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def read_requests(rows: DataFrame, id_col: str, arguments_col: str, parse: Callable[[Arguments], Any], columns: dict[str, tuple[str, Callable[[Any], Any]]]) -> DataFrame:
+    """Requests of a log, a row for each: columns of the parsed request (null where it has a fault), and `error`.
+
+    arguments_col holds query strings; columns are (long, string or boolean, how it is told from the request).
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+    schema = ", ".join([f"{id_col} {kind}", *[f"{c} {t}" for c, (t, _) in columns.items()], "error string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            requests: list[Any] = []
+            errors: list[str | None] = []
+            for text in batch.column(1).to_pylist():
+                try:
+                    requests.append(parse(parse_qs(text or "", keep_blank_values=True)))
+                    errors.append(None)
+                except ValueError as e:
+                    requests.append(None)
+                    errors.append(f"{e.code}: {e}" if isinstance(e, SruError) else str(e))
+            told = [pa.array([None if r is None else value(r) for r in requests], _ARROW[t]) for t, value in columns.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told, pa.array(errors, pa.string())], names=[id_col, *columns, "error"])
+
+    return rows.select(id_col, arguments_col).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +14,8 @@ from searchkit.operators import facets, fields, ingest, parts, requests, sets, s
 from searchkit.plans import cql
 from searchkit.plans.compile import Dataset, compile_query
 from searchkit.plans.engine import Response, execute, paging, search, search_collapsed
-from searchkit.plans.requests import Facet, SortKey, parse_drilldown_query, parse_search
-from searchkit.plans.webquery import WebQuery
+from searchkit.plans.requests import Facet, SortKey, parse_drilldown_query, parse_rss, parse_search, parse_srw, parse_sru, read_requests
+from searchkit.plans.webquery import WebQuery, read_queries
 from searchkit.session import shared_folder
 from searchkit.sources import config, logs
 from searchkit.sources import xml as xmlsource
@@ -228,7 +229,7 @@ def field_drilldown(spark, d):
     return facets.field_counts(data.frame, {f: compile_query(cql.Clause("en", f, "="), data) for f in ("text", "lang", "source")})
 
 
-_LEVELS = "(SELECT {} AS term, count(*) AS count FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-03-01' GROUP BY 1)"
+_LEVELS = "(SELECT {} AS term, count(*) AS count FROM orders GROUP BY 1)"
 
 
 @query("multilevel_drilldown", f"""
@@ -236,7 +237,7 @@ WITH days AS {_LEVELS.format("strftime(o_orderdate, '%Y-%m-%d')")}, months AS {_
 pick AS (SELECT CASE WHEN (SELECT count(*) FROM days) < 10 THEN 'day' WHEN (SELECT count(*) FROM months) < 50 THEN 'month' ELSE 'year' END AS level)
 SELECT level, term, count FROM pick, (SELECT 'day' AS l, * FROM days UNION ALL SELECT 'month', * FROM months UNION ALL SELECT 'year', * FROM years) WHERE l = level""")
 def multilevel_drilldown(spark, d):
-    own = table(spark, d, "orders").where("o_orderdate >= timestamp'1996-01-01' and o_orderdate < timestamp'1996-03-01'")
+    own = table(spark, d, "orders")
     form = lambda f: F.date_format("o_orderdate", f)
     return facets.multilevel(own, [("day", form("yyyy-MM-dd"), 10), ("month", form("yyyy-MM"), 50), ("year", form("yyyy"), 50)]).select("level", "term", "count")
 
@@ -654,12 +655,11 @@ def deproxy(spark, d):
 
 
 @query("version_sort", """
-SELECT v, row_number() OVER (ORDER BY list_transform(string_split(v, '.'), lambda p: CASE WHEN p = 'x' THEN 99887766554433 ELSE p::BIGINT END)) AS pos
-FROM (VALUES ('1.10'), ('1.9'), ('1.2.x'), ('1.2.30'), ('2'), ('1.2')) AS t(v)""")
+SELECT p_partkey, v, list_transform(string_split(v, '.'), lambda p: CASE WHEN p = 'x' THEN 99887766554433 ELSE p::BIGINT END) < [1, 9] AS early
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '1.x' ELSE '1.' || p_size || '.' || p_partkey % 10 END AS v FROM part)""")
 def version_sort(spark, d):
-    rows = spark.createDataFrame([(v,) for v in ("1.10", "1.9", "1.2.x", "1.2.30", "2", "1.2")], "v string")
-    every = F.array_sort(F.collect_list(F.struct(numeric.version("v").alias("k"), F.col("v"))))
-    return rows.agg(every.alias("s")).select(F.posexplode("s").alias("i", "x")).select("x.v", (F.col("i") + 1).cast("long").alias("pos"))
+    v = F.when(F.col("p_partkey") % 7 == 0, "1.x").otherwise(F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string")))
+    return table(spark, d, "part").select("p_partkey", v.alias("v"), (numeric.version(v) < numeric.version(F.lit("1.9"))).alias("early"))
 
 
 _PAST = "(date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + floor(date_part('second', ts)))"
@@ -719,23 +719,220 @@ def _nation_xml():
 _VOCABULARY = f"(SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TEXT_TOKENS}) AS term FROM documents) GROUP BY 1)"
 
 
+def _vocabulary(spark, d) -> DataFrame:
+    """The vocabulary of a directory's documents, kept as a table in the shared folder; it is counted anew when their files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = files.getContentSummary(path)
+    name = hashlib.md5(f"{d} {summary.getLength()} {summary.getFileCount()} {files.getFileStatus(path).getModificationTime()}".encode()).hexdigest()
+    kept = suggest.Vocabulary(spark, f"{shared_folder(spark)}/vocabulary-{name}")
+    return (kept if kept.exists else kept.refresh(table(spark, d, "documents"), "text")).terms
+
+
 @query("prefix_suggest", f"SELECT term, df FROM {_VOCABULARY} WHERE starts_with(term, 'on') ORDER BY df DESC, term LIMIT 10")
 def prefix_suggest(spark, d):
-    return suggest.prefix_suggest(suggest.vocabulary(table(spark, d, "documents"), "text"), "On")
+    return suggest.prefix_suggest(_vocabulary(spark, d), "On")
 
 
 @query("spell_suggest", f"""
 SELECT word, term, levenshtein(term, word)::INT AS distance, df FROM {_VOCABULARY}, (VALUES ('thea'), ('worthles')) AS t(word) WHERE levenshtein(term, word) <= 2
 QUALIFY row_number() OVER (PARTITION BY word ORDER BY levenshtein(term, word), df DESC, term) <= 5""")
 def spell_suggest(spark, d):
-    terms = suggest.vocabulary(table(spark, d, "documents"), "text")
-    return suggest.corrections(terms, ["thea", "worthles"]).select("word", "term", "distance", "df")
+    return suggest.corrections(_vocabulary(spark, d), ["thea", "worthles"]).select("word", "term", "distance", "df")
+
+
+# What is typed and asked, as rows of a log.
 
 
-@query("webquery_classify")
+@query("webquery_classify", """
+SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'plusminus' WHEN 2 THEN 'boolean' WHEN 3 THEN 'boolean' ELSE 'default' END AS kind, event_id % 6 = 4 AS needs_help,
+  CASE event_id % 6 WHEN 0 THEN event_type || ' AND u' || user_id WHEN 1 THEN event_type || ' NOT u' || user_id WHEN 2 THEN event_type || ' OR u' || user_id
+    WHEN 3 THEN '* NOT ' || event_type WHEN 4 THEN '-' || event_type || ' AND "(u' || user_id || '"' ELSE '*' END AS cql FROM events""")
 def webquery_classify(spark, d):
-    rows = []
-    for t in ("fiets bel", "+fiets -bel", "-fiets", "fiets AND bel", "not fiets", "(fiets or bel) and slot", "-fiets (bel", '"losse woorden" los', ""):
-        q = WebQuery(t, "*")
-        rows.append((t, q.kind, q.needs_help, q.as_text()))
-    return spark.createDataFrame(rows, "text string, kind string, needs_help boolean, cql string")
+    kind, user = F.col("event_type"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    forms = [F.concat_ws(" ", kind, user), F.concat(F.lit("+"), kind, F.lit(" -"), user), F.concat(kind, F.lit(" or "), user), F.concat(F.lit("not "), kind), F.concat(F.lit("-"), kind, F.lit(" ("), user), F.lit("")]
+    typed = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
+    return read_queries(table(spark, d, "events").select("event_id", typed.alias("typed")), "event_id", "typed", "*")
+
+
+@query("search_requests", """
+SELECT event_id, CASE WHEN error IS NULL THEN (page - 1) * 10 END AS start, CASE WHEN error IS NULL THEN least(page * 10, 1000) END AS stop,
+  CASE WHEN error IS NULL THEN '-price,status' END AS sort, CASE WHEN error IS NULL THEN 'status:3' END AS facets, error
+FROM (SELECT event_id, event_id % 120 AS page, CASE WHEN event_id % 120 = 0 THEN 'Invalid argument: ''page'', expected value > 0'
+    WHEN event_id % 120 > 101 THEN 'Invalid argument: ''page'', expected value <= 100' WHEN event_id % 7 = 0 THEN 'Bad argument: ''more'' is an illegal parameter' END AS error FROM events)""")
+def search_requests(spark, d):
+    page = (F.col("event_id") % 120).cast("string")
+    more = F.when(F.col("event_id") % 7 == 0, F.lit("&more=1")).otherwise(F.lit("&x-more=1"))
+    asked = F.concat(F.lit("query="), F.col("event_type"), F.lit("&page="), page, F.lit("&sort=-price,+status&facet=status:3"), more)
+    return read_requests(table(spark, d, "events").select("event_id", asked.alias("asked")), "event_id", "asked", parse_search, {"start": ("long", lambda r: r.start), "stop": ("long", lambda r: r.stop)} | _TOLD)
+
+
+#: How sort keys and facets of a request are told.
+_TOLD = {
+    "sort": ("string", lambda r: ",".join("-" * k.descending + k.field for k in r.sort)),
+    "facets": ("string", lambda r: ",".join(f"{f.field}:{f.max_terms}" for f in r.facets)),
+}
+
+
+@query("sru_requests", """
+SELECT event_id, CASE WHEN error IS NULL THEN event_id % 50 - 1 END AS start, CASE WHEN error IS NULL THEN event_id % 120 END AS maximum, CASE WHEN error IS NULL THEN '-ts' END AS sort, CASE WHEN error IS NULL THEN 'kind:5,user:10' END AS facets, error
+FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '5: 1.' || event_id % 9 WHEN event_id % 50 = 0 THEN '6: startRecord' WHEN event_id % 120 > 100 THEN '6: maximumRecords > 100' END AS error FROM events)""")
+def sru_requests(spark, d):
+    n = F.col("event_id")
+    version = F.when(n % 9 == 0, F.lit("1.0")).otherwise(F.lit("1.2"))
+    asked = F.concat(F.lit("operation=searchRetrieve&version="), version, F.lit("&query=kind&sortKeys=ts,,0&x-term-drilldown=kind:5,user&startRecord="), (n % 50).cast("string"), F.lit("&maximumRecords="), (n % 120).cast("string"))
+    return read_requests(table(spark, d, "events").select("event_id", asked.alias("asked")), "event_id", "asked", _sru_of_log, {"start": ("long", lambda r: r.start), "maximum": ("long", lambda r: r.maximum)} | _TOLD)
+
+
+def _sru_of_log(arguments):
+    return parse_sru(arguments, maximum_cap=100)
+
+
+@query("rss_requests", """
+SELECT event_id, event_type || ' AND user exact ' || user_id AS cql, event_id % 40 AS size, CASE WHEN event_id % 2 = 1 THEN '-ts' ELSE 'ts' END AS sort, NULL::VARCHAR AS error FROM events""")
+def rss_requests(spark, d):
+    n = F.col("event_id")
+    asked = F.concat(F.lit("query="), F.col("event_type"), F.lit("&filter=user:"), F.col("user_id").cast("string"), F.lit("&maximumRecords="), (n % 40).cast("string"), F.lit("&sortKeys=ts,,"), (n % 2).cast("string"))
+    told = {"cql": ("string", lambda r: cql.to_text(r[0])), "size": ("long", lambda r: r[2]), "sort": ("string", lambda r: ",".join("-" * k.descending + k.field for k in r[1]))}
+    return read_requests(table(spark, d, "events").select("event_id", asked.alias("asked")), "event_id", "asked", parse_rss, told)
+
+
+@query("srw_requests", """
+SELECT event_id, CASE WHEN event_id % 10 > 0 THEN event_type END AS cql, CASE WHEN event_id % 10 > 0 THEN event_id % 30 END AS maximum, CASE WHEN event_id % 10 = 0 THEN '8: stylesheet' END AS error FROM events""")
+def srw_requests(spark, d):
+    n = F.col("event_id")
+    more = F.when(n % 10 == 0, F.lit("<s:stylesheet>x</s:stylesheet>")).otherwise(F.lit(""))
+    body = F.concat(
+        F.lit('<e:Envelope xmlns:e="http://schemas.xmlsoap.org/soap/envelope/"><e:Body><s:searchRetrieveRequest xmlns:s="http://www.loc.gov/zing/srw/"><s:query>'),
+        F.col("event_type"), F.lit("</s:query><s:maximumRecords>"), (n % 30).cast("string"), F.lit("</s:maximumRecords>"), more, F.lit("</s:searchRetrieveRequest></e:Body></e:Envelope>"),
+    )
+    rows = table(spark, d, "events").select("event_id", F.concat(F.lit("body="), text.quote_plus(body)).alias("asked"))
+    return read_requests(rows, "event_id", "asked", _srw_of_log, {"cql": ("string", lambda r: r.text), "maximum": ("long", lambda r: r.maximum)})
+
+
+def _srw_of_log(arguments):
+    return parse_sru(parse_srw(arguments["body"][0]))
+
+
+# Requests, cookies and names.
+
+
+@query("cookie_values", "SELECT event_id, [user_id::VARCHAR, 'x=y'] AS found, []::VARCHAR[] AS none FROM events")
+def cookie_values(spark, d):
+    header = F.concat(F.lit("a=1; sid="), F.col("user_id").cast("string"), F.lit(";sid=x=y ; sidx=3"))
+    return table(spark, d, "events").select("event_id", text.cookie(header, "sid").alias("found"), text.cookie(header, "other").alias("none"))
+
+
+@query("form_values", "SELECT event_id, ['x y ' || event_id, '&'] AS b, NULL::VARCHAR[] AS c FROM events")
+def form_values(spark, d):
+    body = F.concat(F.lit("a=1&b=x%20y+"), F.col("event_id").cast("string"), F.lit("&b=%26"))
+    return table(spark, d, "events").select("event_id", text.form_argument(body, "b").alias("b"), text.form_argument(body, "c").alias("c"))
+
+
+@query("basic_auth", """
+SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'u' || user_id END AS login, CASE WHEN event_id % 3 > 0 THEN event_type || ':' || event_id END AS password FROM events""")
+def basic_auth(spark, d):
+    secret = F.base64(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"), F.lit(":"), F.col("event_id").cast("string")).cast("binary"))
+    found = text.basic_auth(F.concat(F.when(F.col("event_id") % 3 == 0, F.lit("Bearer ")).otherwise(F.lit("basic ")), secret))
+    return table(spark, d, "events").select("event_id", found["user"].alias("login"), found["password"].alias("password"))
+
+
+@query("filename_variants", """
+SELECT p_partkey, list_sort(list_distinct([n, replace(n, '%2E', '.'), replace(replace(n, '%2E', '.'), '+', ' ')])) AS names
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'plain' ELSE 'part+' || p_partkey || '%2Exml' END AS n FROM part)""")
+def filename_variants(spark, d):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.lit("plain")).otherwise(F.concat(F.lit("part+"), F.col("p_partkey").cast("string"), F.lit("%2Exml")))
+    return table(spark, d, "part").select("p_partkey", F.array_sort(text.filename_variants(name)).alias("names"))
+
+
+@query("markup_escape", """
+SELECT p_partkey, replace(replace(replace(replace(replace(n, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html, n AS back
+FROM (SELECT p_partkey, '<a title="' || p_name || '">&' || chr(39) AS n FROM part)""")
+def markup_escape(spark, d):
+    name = F.concat(F.lit('<a title="'), F.col("p_name"), F.lit("\">&'"))
+    return table(spark, d, "part").select("p_partkey", text.html_escape(name).alias("html"), text.xml_unescape(text.xml_escape(name, True)).alias("back"))
+
+
+@query("dotted_names", """
+SELECT event_id, '//a/b' || event_id % 3 AS path, event_type AS leaf, '' AS root_path, '<field name="' || event_type || '">' || event_id || '</field>' AS flat FROM events""")
+def dotted_names(spark, d):
+    found = text.split_name(F.concat(F.lit("a.b"), (F.col("event_id") % 3).cast("string"), F.lit("."), F.col("event_type")))
+    flat = text.flat_field_xml("event_type", F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", found["path"].alias("path"), found["leaf"].alias("leaf"), text.split_name("event_type")["path"].alias("root_path"), flat.alias("flat"))
+
+
+@query("argument_strings", "SELECT event_id, 'a=1&a=x+y&kind=' || event_type || '&n=' || event_id AS asked, 'a%20b/' || event_id || '%3F' AS quoted FROM events")
+def argument_strings(spark, d):
+    n = F.col("event_id").cast("string")
+    given = F.create_map(F.lit("n"), F.array(n), F.lit("kind"), F.array("event_type"), F.lit("a"), F.array(F.lit("1"), F.lit("x y")))
+    return table(spark, d, "events").select("event_id", text.sorted_url_encode(given).alias("asked"), text.quote(F.concat(F.lit("a b/"), n, F.lit("?"))).alias("quoted"))
+
+
+@query("path_and_query", "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?#]*', '') AS asked FROM pages")
+def path_and_query(spark, d):
+    return table(spark, d, "pages").select("page_id", net.path_and_query("url").alias("asked"))
+
+
+@query("epoch_wait", "SELECT event_id, CASE WHEN 1705363200 - s < 0 THEN 31536000 ELSE 1705363200 - s END AS wait FROM (SELECT event_id, floor(epoch(ts))::BIGINT AS s FROM events)")
+def epoch_wait(spark, d):
+    return table(spark, d, "events").select("event_id", net.seconds_to_epoch(F.unix_timestamp(F.col("ts").cast("timestamp")), 1705363200).cast("long").alias("wait"))
+
+
+@query("major_version", "SELECT p_partkey, '1.' || p_size AS own, '1.' || (p_size + 1) AS following, p_size || '.0' AS short FROM part")
+def major_version(spark, d):
+    v = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".7"))
+    return table(spark, d, "part").select("p_partkey", numeric.major_version(v).alias("own"), numeric.major_version(v, following=True).alias("following"), numeric.major_version(F.col("p_size").cast("string")).alias("short"))
+
+
+@query("milliseconds", "SELECT event_id, event_id % 800 / 8.0::DOUBLE AS s FROM events")
+def milliseconds(spark, d):
+    return table(spark, d, "events").select("event_id", numeric.milliseconds(F.col("event_id") % 800 / 8).cast("double").alias("s"))
+
+
+@query("radix_all", "SELECT p_partkey, ['zz' || p_size % 10, 'z' || p_size // 10 % 10 || 'z', p_size // 100 || 'zz'] AS terms, (p_size // 10 % 10)::VARCHAR AS tens FROM part")
+def radix_all(spark, d):
+    return table(spark, d, "part").select("p_partkey", numeric.radix_terms("p_size", 3).alias("terms"), numeric.digit("p_size", 1).alias("tens"))
+
+
+@query("first_of", "SELECT event_id, event_type AS first, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'none' END AS other FROM events")
+def first_of(spark, d):
+    some = F.when(F.col("event_id") % 2 == 0, F.array("event_type", F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "events").select("event_id", requests.first_of(F.array("event_type", F.lit("x"))).alias("first"), requests.first_of(some, F.lit("none")).alias("other"))
+
+
+@query("bijection_reverse", "SELECT n_nationkey::VARCHAR AS key, n_name AS value FROM nation")
+def bijection_reverse(spark, d):
+    return state.reverse(table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")))
+
+
+# Parts and messages.
+
+
+@query("part_names", """
+SELECT doc_id AS identifier, 'renamed' AS partname, '<quality>' || quality || '</quality>' AS data FROM labels
+UNION ALL SELECT doc_id, 'renamed', '<quality>' || quality || '</quality>' FROM labels""")
+def part_names(spark, d):
+    every = _label_parts(spark, d)
+    kept = parts.filter_parts(every, included=["quality"]).unionByName(parts.filter_parts(every, excluded=["toxic"]))
+    return parts.rewrite_partname(kept, "renamed").select("identifier", "partname", "data")
+
+
+@query("message_actions", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'seen' ELSE event_type END AS action FROM events WHERE event_type IN ('view', 'click')
+UNION ALL SELECT event_id, event_type FROM events WHERE event_type <> 'view'""")
+def message_actions(spark, d):
+    messages = table(spark, d, "events").select("event_id", F.col("event_type").alias("action"))
+    some = parts.rewrite_action(parts.filter_actions(messages, allowed=["view", "click"]), "view", "seen")
+    return some.unionByName(parts.filter_actions(messages, disallowed=["view"]))
+
+
+@query("subtrees", "SELECT n_nationkey::VARCHAR AS identifier, '<name>' || n_name || '</name>' AS xml, NULL::VARCHAR AS error FROM nation")
+def subtrees(spark, d):
+    return fields.select_subtrees(table(spark, d, "nation").select(F.col("n_nationkey").alias("identifier"), _nation_xml().alias("xml")), "name")
+
+
+@query("subtree_faults", "SELECT n_nationkey::VARCHAR AS identifier, n_nationkey % 2 = 0 AS bad FROM nation")
+def subtree_faults(spark, d):
+    xml = F.when(F.col("n_nationkey") % 2 == 0, F.lit("<nation><name>")).otherwise(_nation_xml())
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("identifier"), xml.alias("xml"))
+    return fields.select_subtrees(rows, "name").select("identifier", F.col("error").isNotNull().alias("bad"))
