@@ -16,8 +16,9 @@ import pyarrow as pa
 
 #: Bytes of text that one slice of documents holds (a longer document is a slice of its own).
 SLICE_BYTES = 2 << 20
-#: Words longer than this are hashed one by one.
-LONG_WORD = 1 << 16
+#: Words longer than this are hashed one by one, by BLAKE2: unlike words of equal sums, which a sum of powers modulo 2^64
+#: has for any base, are known from about 1,000 bytes on.
+LONG_WORD = 512
 
 _U = np.uint64
 

@@ -5,10 +5,13 @@ and the work stays in proportion to the text. A window's anchor is the smallest
 hash among its runs of ANCHOR words; equal windows have equal anchors.
 
 1. One pass counts anchors. A window whose anchor is the anchor of no other place
-   can't repeat; it goes no further. A run of windows that share the place of their
-   anchor counts as two where it may hold equal windows itself.
+   can't repeat. A run of windows that share the place of their anchor counts as two
+   where it may hold equal windows itself.
 2. A second pass sends the stretches of text around repeated anchors, as 32-bit word
-   hashes, to the anchor's shard.
+   hashes, to the anchor's shard. Which anchors repeat it asks a Bloom filter of bounded size
+   (FILTER_BITS), whose errors send a stretch more and change no result. As many times the anchors
+   as it has room for (about 50 million, some 30 GB of text) it lets nearly none pass that
+   occur once; with more it lets ever more pass, up to all text, in the same way.
 3. Each shard builds a compressed FM-index over its distinct stretches and streams
    their windows through it by backward search (`fmindex`, byte symbols). Windows
    found twice are checked on their word hashes, and runs of them become intervals.
@@ -39,14 +42,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchkit.llm import kernels
+from searchkit.llm.blocks import gathered
 from searchkit.llm.common import checkpoint, table, without
 from searchkit.llm.fmindex import FMIndex
 
 WINDOW, ANCHOR = 35, 4
 #: Places of an anchor, or of one of its windows, beyond which it is a heavy hitter.
 HOT = 256
-#: Repeated anchors that may be broadcast (8 bytes each); beyond, stretches are semi-joined to them.
-ANCHORS_SENT = 4_000_000
+#: Bits of the filter of repeated anchors at most, and for each anchor while there are few; parts in which it is made.
+FILTER_BITS, BITS_EACH, FILTER_PARTS = 1 << 29, 16, 1 << 10
 #: Words that a shard indexes at once, unless one anchor has more.
 SHARD_WORDS = 500_000
 ADDED = ("n_words", "n_removed", "kept_text")
@@ -84,6 +88,67 @@ def _contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
+class Filter:
+    """A Bloom filter of 64-bit keys in parts that are made apart: a key's three bits are in one part."""
+
+    def __init__(self, part_bits: int, parts: dict[int, np.ndarray]):
+        self.part_bits = part_bits
+        self.bits = np.zeros((FILTER_PARTS, part_bits // 8), np.uint8)
+        for p, x in parts.items():
+            self.bits[p] = x
+
+    @staticmethod
+    def size(keys: int) -> int:
+        """The bits of a part for so many keys: a power of two."""
+        total = min(max(keys * BITS_EACH, FILTER_PARTS * 64), FILTER_BITS)
+        return 1 << (max(total // FILTER_PARTS, 64) - 1).bit_length()
+
+    @staticmethod
+    def places(keys: np.ndarray, part_bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        h = kernels._mix(keys)
+        more = kernels._mix(h ^ np.uint64(0x5851F42D4C957F2D))
+        mask = np.uint64(part_bits - 1)
+        return (h >> np.uint64(54)).astype(np.int64), [(h & mask).astype(np.int64), (more & mask).astype(np.int64), (more >> np.uint64(32) & mask).astype(np.int64)]
+
+    @staticmethod
+    def part(places: list[np.ndarray], part_bits: int) -> np.ndarray:
+        out = np.zeros(part_bits, bool)
+        for at in places:
+            out[at] = True
+        return np.packbits(out, bitorder="little")
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        part, places = self.places(keys, self.part_bits)
+        out = np.ones(len(keys), bool)
+        for at in places:
+            out &= (self.bits[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+    @classmethod
+    def of(cls, keys: DataFrame, n: int) -> Filter:
+        """Of the n keys (column key) of a checkpointed frame, made by the executors a part at a time."""
+        bits = cls.size(n)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls.places(own, bits)[0].astype(np.int32)), batch.column(0)], names=["part", "key"])
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                part, places = cls.places(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+                for p in np.unique(part).tolist():
+                    bitmap = cls.part([at[part == p] for at in places], bits)
+                    held[p] = held[p] | bitmap if p in held else bitmap
+            for p, bitmap in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bitmap.tobytes()], pa.binary())], names=["part", "bitmap"])
+
+        rows = checkpoint(keys.select("key").mapInArrow(dealt, "part int, key long").repartition("part").mapInArrow(made, "part int, bitmap binary"))
+        parts = {r["part"]: np.frombuffer(bytes(r["bitmap"]), np.uint8) for some in gathered(rows, "bitmap") for r in some}
+        return cls(bits, parts)
+
+
 def _each(batches: Iterator[pa.RecordBatch], window: int, anchor: int):
     for batch in batches:
         data, offsets = kernels.flat(batch.column(0))
@@ -128,11 +193,10 @@ def _send(repeated, hot, heavy, window: int, anchor: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if repeated is None else repeated.value
         for batch, a, _, r in _each(batches, window, anchor):
             symbols = (r.hashes >> np.uint64(32)).astype("<u4")
             is_hot = _contains(hot.value, r.keys)
-            usual = ~is_hot if known is None else ~is_hot & _contains(known, r.keys)
+            usual = ~is_hot & repeated.value.has(r.keys)
             at, key, size = r.heads[usual], r.keys[usual], r.sizes[usual] + (window - 1)
             done = stop = np.zeros(0, np.int64)
             n_usual = len(at)
@@ -252,7 +316,7 @@ def _index(window: int, shard_words: int):
     return run
 
 
-def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_places: int = HOT, anchors_sent: int = ANCHORS_SENT, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_places: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(h, g, a, b): intervals of words of the rows with text whose hashes are h and g."""
     sc = docs.sparkSession.sparkContext
     h, g = _row_hashes(text_col)
@@ -270,12 +334,8 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, ancho
         x, y = (found[c].to_numpy().view(np.uint64) for c in ("x", "y"))
         order = np.argsort(x, kind="stable")
         heavy = (x[order], y[order])
-    few = n_repeated <= anchors_sent
-    sent = sc.broadcast(_sorted(counted.select("key"))) if few else None
+    sent = sc.broadcast(Filter.of(counted, n_repeated))
     stretches = texts.mapInArrow(_send(sent, sent_hot, sc.broadcast(heavy), window, anchor), "key long, h long, g long, start long, stop long, words binary")
-    if not few:
-        repeated = counted.select("key", F.lit(True).alias("_repeated"))
-        stretches = stretches.join(repeated, "key", "left").where("words is null or stop < 0 or _repeated").select(*STRETCH)
     return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_index(window, shard_words), "h long, g long, a long, b long")
 
 

@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
+from searchkit.llm import substring
 from searchkit.llm.fmindex import FMIndex
 from searchkit.llm.substring import ANCHOR, WINDOW, _count_anchors, remove_repeats, repeated_windows
 
@@ -35,7 +37,7 @@ def corpus():
     return texts + texts[10:14] + [texts[8]] * 20
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_places": 3}, {"anchors_sent": 0}, {"hot_places": 3, "anchors_sent": 0}, {"shard_words": 200}, {"window": 8, "anchor": 2}])
+@pytest.mark.parametrize("options", [{}, {"hot_places": 3}, {"shard_words": 200}, {"window": 8, "anchor": 2}])
 def test_against_brute_force(spark, options):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
@@ -44,6 +46,39 @@ def test_against_brute_force(spark, options):
     assert got == want
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 64])
+def test_filter_has_every_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(substring, "FILTER_BITS", bits)
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 62, 20_000) | 0xFFF
+    found = substring.Filter.of(spark.createDataFrame(pd.DataFrame({"key": keys})).repartition(3), len(keys))
+    assert found.has(keys.view(np.uint64)).all()
+    other = (rng.integers(0, 1 << 62, 20_000) | 0xFFF).view(np.uint64)
+    assert found.has(other).mean() < 0.03 or bits == 64
+    assert not substring.Filter.of(spark.createDataFrame([], "key long"), 0).has(other).any()
+
+
+def test_a_full_filter_changes_no_result(spark, monkeypatch):
+    texts = corpus()[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(substring.Filter, "of", classmethod(lambda cls, keys, n: _All()))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in remove_repeats(docs).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))
+
+
+class _All:
+    def has(self, keys):
+        return np.ones(len(keys), bool)
+
+
+def test_null_ids_and_very_long_texts(spark):
+    long = " ".join(f"u{i}" for i in range(60_000))
+    texts = [long, long + " tail", " ".join(f"v{i}" for i in range(50)), "x" * 70_000 + " " + "y" * 600]
+    docs = spark.createDataFrame([(None if i == 1 else i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept_text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in remove_repeats(docs).collect()}
+    assert got == dict(zip([0, None, 2, 3], brute(texts, 35), strict=True))
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
