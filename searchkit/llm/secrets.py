@@ -5,8 +5,9 @@ holds, for each blob and rule version, what was found; a scan takes the distinct
 blobs that the ledger lacks under the present rules (an anti-join), applies the
 rules to those alone, appends the findings, and joins findings back to all paths
 that hold the blob. The ledger is a Parquet table bucketed by blob, so joining it moves no
-part of its history. `op6_secrets` and the pipeline keep a ledger of their own for
-a run, in the shared folder, and feed it the documents in two appends (APPENDS).
+part of its history. `op6_secrets` and the pipeline have a ledger of their own for
+a run, in the shared folder, and feed it the documents in two appends (APPENDS); it goes
+when its findings have been taken.
 
 Texts move once: a partial aggregate keeps one text of each blob in every task, and
 what is left of these goes to the task that judges its blob, seen or not.
@@ -161,15 +162,25 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _found(docs: DataFrame, text_col: str, ledger: Ledger | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger's findings once docs are in it; without a ledger those of one for this call, which is removed again."""
+    if ledger is not None:
+        return ledger.findings(docs, text_col, rules, APPENDS)
+    own = Ledger(docs.sparkSession)
+    try:
+        return checkpoint(own.findings(docs, text_col, rules, APPENDS))
+    finally:
+        own.drop()
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (without text_col) with secret_spans and the counts and digests of the base rules.
 
     Only hashes and findings meet in the join; what it joins is written, so
     that adaptive execution can split a blob with very many paths.
     """
-    ledger = ledger or Ledger(docs.sparkSession)
     docs = without(docs, [*ADDED, "blob"])
-    found = ledger.findings(docs, text_col, rules, APPENDS)
+    found = _found(docs, text_col, ledger, rules)
     paths = checkpoint(docs.withColumn("blob", blob_id(text_col)).drop(text_col))
     base = F.filter("secret_spans", lambda s: s["kind"].isin([r.kind for r in rules if r.base]))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
@@ -185,7 +196,7 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None
     Blobs with a finding are broadcast if a count of their bytes shows them to be few; beyond, texts meet them in a shuffle.
     """
     docs = without(docs, ["_blob", "_spans"])
-    found = (ledger or Ledger(docs.sparkSession)).findings(docs, text_col, rules, APPENDS)
+    found = _found(docs, text_col, ledger, rules)
     found = checkpoint(found.where(F.size("secret_spans") > 0).select(F.col("blob").alias("_blob"), F.col("secret_spans").alias("_spans")))
     size = found.agg(F.sum(F.lit(150) + 40 * F.size("_spans"))).first()[0] or 0
     joined = docs.withColumn("_blob", blob_id(text_col)).join(F.broadcast(found) if size <= few_bytes else found, "_blob", "left")
