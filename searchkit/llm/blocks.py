@@ -56,9 +56,13 @@ class Blocks:
                 part.__dict__.pop("_value", None)  # read again from the executor's copy when it is needed
 
 
-def gathered(packed: DataFrame, payload: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Row]]:
-    """The rows of a checkpointed frame in groups of about block_bytes (or of one row), one group at a time on the driver."""
-    total = packed.agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).first()[0]
+def gathered(packed: DataFrame, payload: str, block_bytes: int = BLOCK_BYTES, total: int | None = None) -> Iterator[list[Row]]:
+    """The rows of a frame in groups of about block_bytes (or of one row), one group at a time on the driver.
+
+    total: the payloads' bytes, where they are known and the frame needn't be checkpointed to be read twice.
+    """
+    if total is None:
+        total = packed.agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).first()[0]
     if total <= block_bytes:
         if rows := packed.collect():
             yield rows
@@ -94,11 +98,12 @@ class Lookup:
     """A map from distinct 64-bit keys to numbers, as sorted arrays in blocks."""
 
     def __init__(self, table: DataFrame, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES):
-        """table: (key long, value) without nulls, checkpointed."""
+        """table: (key long, value) without nulls; it is evaluated twice."""
         n = table.count()
         parts = max(1, -(-16 * n // max(1, block_bytes // 2)))
-        packed = checkpoint(table.select("key", F.col("value").cast("double").alias("value")).repartition(parts, "key").mapInArrow(_pack, "packed binary"))
-        self._blocks = Blocks(table.sparkSession, map(self._block, gathered(packed, "packed", block_bytes)), held_bytes)
+        packed = table.select("key", F.col("value").cast("double").alias("value")).repartition(parts, "key").mapInArrow(_pack, "packed binary")
+        packed = packed if 16 * n <= block_bytes else checkpoint(packed)  # written, where parts of it are fetched one by one
+        self._blocks = Blocks(table.sparkSession, map(self._block, gathered(packed, "packed", block_bytes, 16 * n)), held_bytes)
 
     @staticmethod
     def _block(rows: list[Row]) -> tuple[tuple[np.ndarray, np.ndarray], int]:

@@ -47,5 +47,19 @@ def test_every_stage_takes_an_empty_table_and_nulls(spark):
         assert stage(spark, docs.limit(50).unionByName(odd), SF).count() > 0
 
 
+def test_other_columns_go_through_and_long_and_repeated_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    long = docs.limit(1).selectExpr("cast(90001 as long) as doc_id", "concat_ws(' ', transform(sequence(1, 20000), x -> concat('the', x))) as text", "lang", "source", "n_chars")
+    docs = docs.unionByName(long).unionByName(docs.limit(3))
+    clashing = ("score", "predicted", "_key", "items", "spans", "blob", "n_words", "_Spans", "group")
+    docs = docs.selectExpr("*", *[f"concat('{c}', cast(doc_id as string)) as {c}" for c in clashing])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF).collect()
+        assert rows and rows[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in clashing)
+        assert 90001 in {r["doc_id"] for r in rows}
+        assert (len(rows) == len({r["doc_id"] for r in rows})) == (name == "near-dedup")
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-dedup", "decontamination", "secrets", "mixing"] and corpus_pipeline.ORACLE_SQL is None
