@@ -113,10 +113,20 @@ def xml_to_fields(rows: DataFrame, id_col: str = "identifier", xml_col: str = "x
     return rows.select(F.col(id_col).cast("string").alias("identifier"), F.col(xml_col).alias("xml")).mapInArrow(run, FIELD_SCHEMA)
 
 
+def well_formed(xml: Column) -> Column:
+    """Whether XML parses; null for null."""
+    told = F.from_xml(xml, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(xml.isNotNull(), told["_bad"].isNull())
+
+
 def xpath_fields(rows: DataFrame, paths: Mapping[str, str], id_col: str = "identifier", xml_col: str = "xml", as_list: bool = False) -> DataFrame:
-    """A field for each result of each XPath (to text or attributes), or one list of results for each."""
-    lists = F.array(*[F.struct(F.lit(n).alias("name"), F.xpath(F.col(xml_col), F.lit(p)).alias("values"), F.lit(i).alias("pos")) for i, (n, p) in enumerate(paths.items())])
-    out = rows.select(F.col(id_col).cast("string").alias("identifier"), F.explode(lists).alias("f"))
+    """A field for each result of each XPath (to text or attributes), or one list of results for each.
+
+    Paths are asked only of XML that parses, which they would fail on; what doesn't parse has no fields (`as_list`: null lists).
+    """
+    found = lambda p: F.when(F.col("_ok"), F.xpath(F.col(xml_col), F.lit(p)))
+    lists = F.array(*[F.struct(F.lit(n).alias("name"), found(p).alias("values"), F.lit(i).alias("pos")) for i, (n, p) in enumerate(paths.items())])
+    out = rows.withColumn("_ok", well_formed(F.col(xml_col))).select(F.col(id_col).cast("string").alias("identifier"), F.explode(lists).alias("f"))
     if as_list:
         return out.select("identifier", "f.name", F.col("f.values").alias("value"), "f.pos")
     return out.select("identifier", "f.name", F.explode("f.values").alias("value"), "f.pos")

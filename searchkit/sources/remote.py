@@ -157,32 +157,57 @@ class _PacketReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.wait = float(options.get("wait", 0.2))
         self.most = int(options.get("maxPackets", 10_000))
+        self.patience = float(options.get("connectionTimeout", 5))
+        self.kind = {"udp": socket.SOCK_DGRAM, "tcp": socket.SOCK_STREAM}[options.get("protocol", "udp").lower()]
         self.address = (options.get("host", "127.0.0.1"), int(options["port"]))
         self.socket: socket.socket | None = None
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
+    def _listen(self) -> socket.socket:
+        listening = socket.socket(socket.AF_INET, self.kind)
+        if self.kind == socket.SOCK_STREAM:
+            listening.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
+        listening.bind(self.address)
+        if self.kind == socket.SOCK_STREAM:
+            listening.listen()
+        return listening
+
+    def _packet(self, listening: socket.socket) -> tuple[bytes, tuple[str, int]]:
+        """A datagram, or all that a connection sends until it is closed (or silent for too long)."""
+        if self.kind == socket.SOCK_DGRAM:
+            return listening.recvfrom(2048)
+        connection, remote = listening.accept()
+        with connection:
+            connection.settimeout(self.patience)
+            received = []
+            try:
+                while piece := connection.recv(65_536):
+                    received.append(piece)
+            except OSError:
+                pass
+            return b"".join(received), remote
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         if self.socket is None:  # only the reader that plans listens; others are made to read what is cached
-            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-            self.socket.bind(self.address)
+            self.socket = self._listen()
         rows, until = [], time.time() + self.wait
         while time.time() < until and len(rows) < self.most:
             self.socket.settimeout(max(0.001, until - time.time()))
             try:
-                data, remote = self.socket.recvfrom(2048)
+                data, remote = self._packet(self.socket)
             except TimeoutError:
                 break
             rows.append((start["n"] + len(rows), data.decode("utf-8", "replace"), remote[0], remote[1]))
         return iter(rows), {"n": start["n"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([])  # datagrams are sent once
+        return iter([])  # packets are sent once
 
 
 class PacketSource(DataSource):
-    """`spark.readStream.format("packets")` with host, port: UDP datagrams of up to 2048 bytes (TCP lines: Spark's own socket source)."""
+    """`spark.readStream.format("packets")` with host, port and protocol: UDP datagrams of up to 2048 bytes, or for `tcp` what each connection sends up to its end."""
 
     @classmethod
     def name(cls) -> str:

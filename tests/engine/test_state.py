@@ -57,6 +57,13 @@ def test_subtrees_of_bad_records(spark):
     assert got == [("1", "<a>x</a>", True), ("1", "<a />", True), ("2", None, False)]
 
 
+def test_paths_of_bad_records(spark):
+    rows = spark.createDataFrame([("1", "<r><a>x</a><a>y</a></r>"), ("2", "<r><a>"), ("3", None), ("4", "text")], "identifier string, xml string")
+    got = [(r["identifier"], r["name"], r["value"]) for r in fields.xpath_fields(rows, {"a": "/r/a/text()"}).collect()]
+    assert got == [("1", "a", "x"), ("1", "a", "y")]
+    assert {r["identifier"]: r["value"] for r in fields.xpath_fields(rows, {"a": "/r/a/text()"}, as_list=True).collect()} == {"1": ["x", "y"], "2": None, "3": None, "4": None}
+
+
 def test_upserts_rewrite_only_touched_buckets(spark, tmp_path):
     table = UpsertTable(spark, str(tmp_path), ["k"], ["seq"], buckets=8)
     batch = lambda *rows: spark.createDataFrame(rows, "k string, seq long, v string, is_deleted boolean")
@@ -111,3 +118,34 @@ def test_vocabulary_table(spark, tmp_path):
     assert [r["term"] for r in suggest.prefix_suggest(kept.terms, "t", minimum=1).collect()] == ["two", "three"]
     kept.refresh(docs.limit(1), "text")
     assert kept.terms.count() == 2
+
+
+def test_tcp_packets_are_whole_connections():
+    import socket
+    import threading
+
+    from searchkit.sources.remote import _PacketReader
+
+    with socket.socket(socket.AF_INET, socket.SOCK_STREAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    reader = _PacketReader({"port": str(port), "protocol": "tcp", "wait": "5", "maxPackets": "3", "connectionTimeout": "1"})
+
+    def send():
+        for text in ("first\npäcket", "", "x" * 200_000):
+            for _ in range(100):
+                try:
+                    with socket.create_connection(("127.0.0.1", port), timeout=5) as c:
+                        c.sendall(text[:5].encode())
+                        c.sendall(text[5:].encode())
+                    break
+                except ConnectionRefusedError:
+                    threading.Event().wait(0.05)
+
+    sender = threading.Thread(target=send)
+    sender.start()
+    rows, end = reader.read({"n": 7})
+    sender.join()
+    rows = list(rows)
+    assert [(r[0], r[1]) for r in rows] == [(7, "first\npäcket"), (8, ""), (9, "x" * 200_000)] and end == {"n": 10}
+    reader.socket.close()
