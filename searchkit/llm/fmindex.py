@@ -3,6 +3,9 @@
 Built for matches up to `depth` symbols: suffixes are sorted by their first
 `depth` symbols, which is all that backward search for such patterns needs.
 Queries run in lock-step as numpy arrays, so many patterns cost few passes.
+
+Defined cases: a text of separators alone has no pattern in it; equal suffixes of `depth`
+symbols are in text order; without queries nothing is searched.
 """
 
 from __future__ import annotations

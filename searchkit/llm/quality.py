@@ -9,8 +9,9 @@ are hashed (64 bits each, within one text) and a text whose windows are all
 different, as most are, stops at `array_distinct`; only others sort their windows.
 
 Defined cases: a null text is an empty one; an empty text has zero words, which
-fails the base rule; repeated rows are judged row by row; columns of the names
-that the operator adds are replaced.
+fails the base rule; a null id changes nothing; very long texts are judged whole (beyond
+a million words they fail); a value that equals a bound doesn't meet its relation; repeated
+rows are judged row by row; columns of the names that the operator adds are replaced.
 """
 
 from __future__ import annotations

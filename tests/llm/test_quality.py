@@ -44,3 +44,14 @@ def test_agrees_with_labels(spark):
     kept = q.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
     n, same = kept.selectExpr("count(*)", "count_if(kept = (quality = 1))").first()
     assert same / n > 0.97
+
+
+def test_null_ids_ties_and_very_long_texts(spark):
+    from searchkit.llm.quality import quality
+
+    line = "the dog and the cat of this house"
+    rows = [(None, " ".join(f"the w{i}" for i in range(30_000)), "x"), (None, None, "y"), (1, " ".join(f"w{i} the" for i in range(5)), "z"), (1, " ".join(f"w{i} the" for i in range(5)), "z"), (2, f"{line} one\n{line} two", None)]
+    out = quality(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["base_failed"], r["kept"]) for r in out)
+    # Ten words pass "fewer than 10"; a text of 18 words of which 16 are in repeated windows fails.
+    assert got == [(0, 0, True, False), (0, 60_000, False, True), (1, 10, False, True), (1, 10, False, True), (2, 18, True, False)]
