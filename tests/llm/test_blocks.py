@@ -6,7 +6,7 @@ from searchkit.llm import blocks
 from searchkit.llm.common import checkpoint, sampled
 
 
-@pytest.mark.parametrize("block_bytes, held_bytes", [(1 << 20, 1 << 20), (600, 0), (1, 1 << 20)])
+@pytest.mark.parametrize("block_bytes, held_bytes", [(1 << 20, 1 << 20), (600, 0), (300, 1 << 20)])
 def test_lookup(spark, block_bytes, held_bytes):
     keys = [(k * 7919 - 10**6, k % 5) for k in range(500)]
     lookup = blocks.Lookup(checkpoint(spark.createDataFrame(keys, "key long, value int")), block_bytes, held_bytes)

@@ -35,7 +35,7 @@ def test_targets_and_takings(spark, quality):
     docs = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, source string, taken int").repartition(4)
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300, 3)] * 2 + [(9, None)], "doc_id long, quality int") if quality else None
     rows = m.mix(docs, labels).collect()
-    again = m.mix(docs.repartition(2), labels, block_bytes=50).collect()
+    again = m.mix(docs.repartition(2), labels, block_bytes=400).collect()
     narrow = m.allocate(docs, labels).collect()
     digest = lambda r: (r["doc_id"] or -1, r["size"], r["source_size"], r["target"], r["taken"])
     assert sorted(map(digest, rows)) == sorted(map(digest, narrow))
@@ -65,7 +65,7 @@ def test_better_documents_are_taken_first(spark):
 def test_no_text_is_shuffled(spark):
     docs = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, source string, other int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
-    plan = m.mix(docs, labels, block_bytes=50)._jdf.queryExecution().executedPlan().toString()
+    plan = m.mix(docs, labels, block_bytes=1000)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
 
 

@@ -150,7 +150,7 @@ def toxic_sample():
     return docs, labels
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 4000])
 def test_toxicity_held_out(spark, block_bytes):
     docs, labels = toxic_sample()
     more = [(5000, None), (5001, ""), (5002, "..."), (None, "you idiot moron scum you idiot"), (5003, "dog " * 30000)]
@@ -184,7 +184,7 @@ def test_repeated_rows_and_very_long_texts(spark):
 def test_no_text_is_shuffled(spark):
     docs, labels = toxic_sample()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    scored = toxicity.score_toxicity(frame, toxicity.training_rows(frame), spark.createDataFrame(labels, "doc_id long, toxic int"), block_bytes=100)
+    scored = toxicity.score_toxicity(frame, toxicity.training_rows(frame), spark.createDataFrame(labels, "doc_id long, toxic int"), block_bytes=4000)
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
 
 

@@ -107,7 +107,7 @@ def test_very_long_texts_and_ties(spark):
 
 def test_no_text_is_shuffled(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "doc_id long, text string")
-    plan = s.keep_one_similar(docs.where("doc_id < 40"), block_bytes=1)._jdf.queryExecution().executedPlan().toString()
+    plan = s.keep_one_similar(docs.where("doc_id < 40"), block_bytes=100)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
