@@ -49,7 +49,8 @@ def rewrite_partname(records: DataFrame, partname: str) -> DataFrame:
 def combine_parts(records: DataFrame, parts: Sequence[str], optional: Sequence[str] = (), namespace: str = DOCUMENT_NS) -> DataFrame:
     """(identifier, data): the parts of each record, in the order declared, in one document envelope.
 
-    Records that lack a part that isn't optional have no row.
+    Records that lack a part that isn't optional have no row. A record has a row for each declared part, so a list of
+    them is as long as the declaration, unless the input repeats parts.
     """
     place = F.create_map(*[x for i, p in enumerate(parts) for x in (F.lit(p), F.lit(i))])
     piece = F.concat(F.lit('<doc:part name="'), xml_escape("partname"), F.lit('">'), F.col("data"), F.lit("</doc:part>"))

@@ -86,7 +86,7 @@ def query_log(requests: DataFrame, scope: str, arguments: Column, hits: Column,
 
 
 def collect_log(entries: DataFrame, by: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
-    """Every value of a key as a list, in order."""
+    """Every value of a key as a list, in order. A key is one request (or another unit whose values one row can hold)."""
     return entries.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, value))).getField(value).alias("values"))
 
 
