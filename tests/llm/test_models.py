@@ -63,6 +63,18 @@ def test_a_rare_class_is_predicted(spark):
     assert by[8] == by[9] == "fr" and all(by[i] == "en" for i in range(8))
 
 
+def test_every_labelled_text_calibrates(spark):
+    # Each rare class has one text among 40,000 others; what isn't like it is rejected.
+    letters = "bcdfghjklmnpqrstvwxz"
+    rare = [(letters[2 * i], letters[2 * i + 1]) for i in range(10)]
+    rows = [(i, "aei oua", "common") for i in range(40_000)] + [(50_000 + i, f"{a}{b}{a}{b} " * 20, f"rare{i}") for i, (a, b) in enumerate(rare)]
+    odd = [(60_000 + i, f"{b}{b}{a}{a}{b} " * 20, None) for i, (a, b) in enumerate(rare)]
+    training = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    docs = spark.createDataFrame(rows[-10:] + odd, "doc_id long, text string, lang string")
+    by = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language.identify_language(docs, training).collect()}
+    assert all(by[50_000 + i] == (f"rare{i}", False) and by[60_000 + i] == (f"rare{i}", True) for i in range(10))
+
+
 def plain(texts_by_class, shared=False):
     """Kneser-Ney by definition, on strings: (class, six symbols) -> probability. Words are of plain letters."""
     order, edge, uniform = charkn.ORDER, " ", 1 / (1 << charkn.BITS)
