@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchkit.llm import kernels
-from searchkit.llm.blocks import BLOCK_BYTES, Blocks, Lookup, gathered
+from searchkit.llm.blocks import BLOCK_BYTES, Blocks, Lookup, gathered, with_found
 from searchkit.llm.common import checkpoint, release, small_batches
 from searchkit.llm.components import components
 from searchkit.llm.simhash import keep_chosen
@@ -268,9 +268,11 @@ def _first_grams(common: Lookup, similarity: float):
     return run
 
 
-def _sets(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """(c, fp, grams) of the nodes in `of`; copies are reduced to one in every task before they move."""
-    return rows.groupBy("c").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")).join(of, "c", "left_semi")
+def _sets(rows: DataFrame, of: DataFrame, block_bytes: int) -> DataFrame:
+    """(c, fp, grams) of the nodes in `of`, which are looked up in the scan: no other set moves, and copies are reduced to one in every task before they do."""
+    lookup = Lookup(of.select(F.col("c").alias("key")).distinct().withColumn("value", F.lit(1)), block_bytes)
+    found = with_found(rows.select("c", "fp", "grams"), lookup, "c", "_found", "_value").where("_found")
+    return found.groupBy("c").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
 
 
 def _meet(dealt: DataFrame, similarity: float) -> DataFrame:
@@ -338,14 +340,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Copies share several parts: a bucket of the same members is looked at once.
     small = probed.where("not large")
     wanted = checkpoint(small.join(_once(small, "key").select("key"), "key").groupBy("c").agg(F.collect_set("key").alias("keys")))
-    dealt = _sets(rows, wanted).join(wanted, "c").select(F.explode("keys").alias("key"), F.col("c").alias("node"), "fp", "grams", F.lit(False).alias("linked"))
+    dealt = _sets(rows, wanted, block_bytes).join(wanted, "c").select(F.explode("keys").alias("key"), F.col("c").alias("node"), "fp", "grams", F.lit(False).alias("linked"))
     edges = checkpoint(_meet(dealt, similarity))
     del dealt, wanted, small
     release(spark)
     members = probed.where("large").select("c", "key")
     any_large = members.limit(1).count() > 0
     if any_large:
-        held = checkpoint(_sets(rows, members))
+        held = checkpoint(_sets(rows, members, block_bytes))
         pivots = members.groupBy("key").agg(F.min("c").alias("pivot"))
         pairs = members.join(pivots, "key").where("c <> pivot").groupBy("c").agg(F.collect_set("pivot").alias("pivots"))
         sets = _pivot_sets(held, pivots.select("pivot").distinct(), block_bytes)

@@ -111,6 +111,16 @@ def test_no_text_is_shuffled(spark):
     assert "Exchange" not in plan
 
 
+def test_only_sets_that_are_looked_for_move(spark):
+    rows = spark.createDataFrame([(i % 50, i, bytes(4)) for i in range(100)], "c long, fp long, grams binary")
+    of = spark.createDataFrame([(3,), (3,), (60,)], "c long")
+    found = s._sets(rows, of, 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("Filter")  # filtered, then moved
+    assert [r["c"] for r in found.collect()] == [3]
+    assert s._sets(rows, of.limit(0), 100).count() == 0
+
+
 def parts_of(texts):
     return s.sketches(*kernels.flat(pa.array(texts)))[2]
 
