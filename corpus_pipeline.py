@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps;
 `run` writes each stage's result as Parquet and reads it back for the next.
 
 1. toxicity: documents that the class-conditional models find toxic go.
-2. near-dedup: of texts that share four fifths of their five-word shingles (SimHash with sampled
+2. near-dedup: of texts that SimHash links as `op5_simhash` does (four differing bits or fewer, by the
+   generalised pigeonhole principle), or that share four fifths of their five-word shingles (sampled
    parts, verified), the document of the smallest id stays.
 3. decontamination: documents that hold a whole benchmark window go, and those of which hits of
    shorter items are half.
@@ -34,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchkit.llm import decontaminate, mixing, secrets, similar, toxicity
+from searchkit.llm import decontaminate, mixing, secrets, simhash, similar, toxicity
 from searchkit.llm.common import release, table
 from searchkit.session import shared_folder
 
@@ -63,7 +64,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one_similar(docs)
+    return similar.keep_one_similar(docs, distance=simhash.DISTANCE)
 
 
 @keeps_columns

@@ -1,4 +1,9 @@
-"""SimHash near-dedup at a similarity of word shingles, for stages that must catch edited copies.
+"""SimHash near-dedup, and beyond it a similarity of word shingles, for stages that must catch edited copies.
+
+With a `distance`, the links of `simhash` come first: texts whose fingerprints differ in so
+many bits or fewer, found by the generalised pigeonhole principle over groups of correlated
+bits with allocated thresholds. Their components are known before anything else is
+compared, and only what could join two of them is looked at further.
 
 Copies that share four fifths of their shingles differ in about ten of 64 SimHash
 bits, and bits spread that thin can't be found by parts of one fingerprint. Here a
@@ -31,7 +36,7 @@ found members leave the search and only a spanning forest is emitted. A part val
    members * pieces of others: the square of their number only where very many texts agree in
    over four fifths of themselves with a passage, and still aren't similar to each other.
 
-Defined cases: a text without words (null, empty) has an empty set, and all of these are one
+Defined cases: a text without words (null, empty) has an empty set and fingerprint zero, and all of these are one
 group; a text of fewer words than a shingle is one shingle; a null id takes part like any
 other, and where an id must be chosen nulls come last; repeated rows are one node, and
 of a group one row stays; ties in rarity go to the smaller hash; a very long text is
@@ -52,7 +57,7 @@ from searchkit.llm import kernels
 from searchkit.llm.blocks import BLOCK_BYTES, Blocks, Lookup, gathered, with_found
 from searchkit.llm.common import checkpoint, release, small_batches
 from searchkit.llm.components import components
-from searchkit.llm.simhash import keep_chosen
+from searchkit.llm.simhash import fingerprints, keep_chosen, link
 
 SHINGLE, SIMILARITY, PARTS = 5, 0.8, 6
 #: Nodes, or shingles in all, of a bucket beyond which it isn't gathered.
@@ -92,11 +97,14 @@ def sketches(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, part
     return content, fp, least, sets
 
 
-def _sketch(shingle: int, parts: int):
+def _sketch(shingle: int, parts: int, own_fp: bool):
+    """Of (_id, _key, text): SCHEMA; the fingerprint is of `simhash`, or of the set where own_fp."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = kernels.flat(batch.column(2))
             content, fp, least, sets = sketches(data, offsets, shingle, parts)
+            fp = fp if own_fp else fingerprints(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * parts), pa.array(least.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content.view(np.int64)), pa.array(fp.view(np.int64)), lists, pa.array([s.tobytes() for s in sets], pa.binary())], names=["_id", "_key", "c", "fp", "parts", "grams"])
 
@@ -325,23 +333,42 @@ def _beyond_parts(held: DataFrame, linked: DataFrame, similarity: float, hot: in
     return _meet(dealt.join(held.select("c", "fp", "grams"), "c"), similarity)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, hot: int = HOT, grams: int = GRAMS, common: int = COMMON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(_id, _key, group) of each row: group is the smallest node that the row's text reaches by similar pairs."""
+def _near(rows: DataFrame, distance: int) -> DataFrame:
+    """Links (u, v) of the nodes whose fingerprints `simhash` links, to the smallest of each component."""
+    prints = checkpoint(rows.select("c", "fp").distinct())
+    linked = link(checkpoint(prints.select("fp").distinct()), distance).withColumnsRenamed({"node": "fp"})
+    rooted = checkpoint(prints.join(linked, "fp", "left").select("c", F.coalesce("root", "fp").alias("_root")))
+    least = rooted.groupBy("_root").agg(F.min("c").alias("v"))
+    return rooted.join(least, "_root").select(F.col("c").alias("u"), "v").where("u <> v")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, hot: int = HOT, grams: int = GRAMS, common: int = COMMON, block_bytes: int = BLOCK_BYTES, distance: int | None = None) -> DataFrame:
+    """(_id, _key, group) of each row: group is the smallest node that the row's text reaches by similar pairs.
+
+    With a distance, pairs of fingerprints that differ in so many bits or fewer count as well.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     key = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
-    rows = checkpoint(own.mapInArrow(_sketch(shingle, parts), SCHEMA.format(id=own.schema["_id"].dataType.simpleString())))
-    nodes = rows.select("c", (F.octet_length("grams") / 4).cast("long").alias("size"), "parts").distinct().select("c", "size", F.posexplode("parts").alias("p", "v"))
-    counts = checkpoint(nodes.groupBy("p", "v").agg(F.count("*").alias("m"), F.sum("size").alias("g")).where("m > 1"))
+    rows = checkpoint(own.mapInArrow(_sketch(shingle, parts, distance is None), SCHEMA.format(id=own.schema["_id"].dataType.simpleString())))
+    near = None if distance is None else checkpoint(_near(rows, distance))
+    known = spark.createDataFrame([], "c long, root long") if near is None else checkpoint(components(near)).withColumnsRenamed({"node": "c"})
+    release(spark)
+    nodes = rows.select("c", (F.octet_length("grams") / 4).cast("long").alias("size"), "parts").distinct().join(known, "c", "left")
+    nodes = nodes.select("c", F.coalesce("root", "c").alias("root"), "size", F.posexplode("parts").alias("p", "v"))
+    # What is one component already has nothing to find.
+    counts = nodes.groupBy("p", "v").agg(F.count("*").alias("m"), F.sum("size").alias("g"), F.min("root").alias("a"), F.max("root").alias("b"))
+    counts = checkpoint(counts.where("a <> b").select("p", "v", "m", "g"))
     large = (F.col("m") > hot) | (F.col("g") > grams)
-    probed = checkpoint(nodes.join(counts, ["p", "v"]).select("c", F.xxhash64("p", "v").alias("key"), large.alias("large")))
+    probed = checkpoint(nodes.join(counts, ["p", "v"]).select("c", "root", F.xxhash64("p", "v").alias("key"), large.alias("large")))
     release(spark)
     # Copies share several parts: a bucket of the same members is looked at once.
     small = probed.where("not large")
-    wanted = checkpoint(small.join(_once(small, "key").select("key"), "key").groupBy("c").agg(F.collect_set("key").alias("keys")))
-    dealt = _sets(rows, wanted, block_bytes).join(wanted, "c").select(F.explode("keys").alias("key"), F.col("c").alias("node"), "fp", "grams", F.lit(False).alias("linked"))
+    wanted = checkpoint(small.join(_once(small, "key").select("key"), "key").groupBy("c").agg(F.collect_set("key").alias("keys"), F.first("root").alias("root")))
+    dealt = _sets(rows, wanted, block_bytes).join(wanted, "c").select(F.explode("keys").alias("key"), F.col("root").alias("node"), "fp", "grams", F.lit(False).alias("linked"))
     edges = checkpoint(_meet(dealt, similarity))
+    edges = edges if near is None else edges.union(near)
     del dealt, wanted, small
     release(spark)
     members = probed.where("large").select("c", "key")

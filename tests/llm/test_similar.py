@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from searchkit.llm import kernels
+import corpus_pipeline
+from searchkit.llm import kernels, simhash
 from searchkit.llm import similar as s
 from searchkit.llm.simhash import keep_chosen
 
@@ -61,6 +62,54 @@ def test_groups_against_brute_force(spark, options):
     assert sorted(map(sorted, out.values())) == groups(texts)
 
 
+def near_texts():
+    """Texts with a copy whose fingerprint differs in four bits or fewer, but which shares less than four fifths of its shingles."""
+    rng, out = random.Random(17), []
+    while len(out) < 8:
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(3)]
+        base = [f"w{rng.randrange(10**6)}" for _ in range(12)] + passage * 40
+        copy = [f"w{rng.randrange(10**6)}" for _ in range(12)] + passage * 40
+        texts = [" ".join(base), " ".join(copy)]
+        a, b = simhash.fingerprints(*kernels.flat(pa.array(texts)))
+        if np.bitwise_count(a ^ b) <= 4 and len(groups(texts)) == 2:
+            out += texts
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 3, "common": 2, "block_bytes": 4000}, {"grams": 150}])
+def test_links_of_simhash_are_a_first_step(spark, options):
+    texts = corpus() + near_texts()
+    fp = simhash.fingerprints(*kernels.flat(pa.array(texts)))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for g in groups(texts):
+        for i in g[1:]:
+            root[find(i)] = find(g[0])
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= 4).tolist():
+            root[find(i)] = find(j)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    assert len(want) < len(groups(texts))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, fp int").repartition(3)
+    out = {}
+    for r in s.similar_groups(docs, distance=4, **options).collect():
+        out.setdefault(r["group"], set()).add(r["_id"])
+    assert sorted(map(sorted, out.values())) == sorted(map(sorted, want.values()))
+
+
+def test_the_stage_links_what_simhash_links(spark):
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2, 4, 6]
+
+
 def test_one_of_each_group_is_kept(spark):
     texts = corpus()[:60]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, fp int").repartition(3)
