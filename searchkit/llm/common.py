@@ -12,6 +12,8 @@ from searchkit.session import shared_folder
 
 #: The separators of words `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
+#: What Spark takes for the size of a plan of which it knows none.
+UNKNOWN_BYTES = (1 << 63) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,9 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: written to the shared folder, so that a lost executor costs no recomputation.
+
+    Spark carries the plan's estimated size over the cut, and that of a join is the product of its sides'.
+    Where each step joins what the last one gave, the number's digits double with every join, until
+    they fill the driver. An estimate beyond 63 bits becomes "unknown", which Spark plans alike.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes() < UNKNOWN_BYTES:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), out._jdf.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:

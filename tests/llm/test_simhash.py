@@ -111,3 +111,11 @@ def test_components_of_a_path_and_a_star(spark, few):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
     assert components(spark.createDataFrame(edges[:0], "u long, v long"), few=few).count() == 0
+
+
+def test_estimated_sizes_stay_small(spark):
+    # The estimate of a join is the product of its sides': over rounds its digits grew until they filled the driver.
+    edges = spark.range(40).selectExpr("id * 37 % 41 AS u", "(id + 1) * 37 % 41 AS v")
+    found = components(edges, few=0)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 70
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(i, 0) for i in range(41)}
